@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
 from ..sources.tables import table
-from . import chunks, components, encode, splits
+from . import chunks, components, encode, leak, neighbors, overlap, splits
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +34,27 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_pairs(splits.pair_ends(pairs), grown).select("pair_id", "component", "split")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of narratives across train and evaluation that are the same or nearly so."""
+    found = overlap.overlaps(table(spark, folder, "independent"), Scratch(spark))
+    return found.select(F.least("train_key", "eval_key").alias("topic_a"), F.greatest("train_key", "eval_key").alias("topic_b")).distinct()
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pairs, evaluation narratives and covered characters per split and source."""
+    narratives = table(spark, folder, "independent")
+    found = overlap.overlaps(narratives, Scratch(spark))
+    sources = narratives.select(F.col("topic_id").alias("eval_key"), "source").distinct()
+    return found.join(sources, "eval_key").groupBy("eval_split", "source").agg(
+        F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_key").alias("narratives"), F.sum("covered").alias("covered_chars")
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar vectors of every usable vector."""
+    return neighbors.neighbors(table(spark, folder, "encoded_batch"), Scratch(spark)).select("vec_id", "neighbor_id")
+
+
 PASSAGE_TEXTS, PASSAGE_ARRAYS = ["brief_summary", "detailed_description"], ["interventions"]
 
 
@@ -51,10 +73,16 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    found = leak.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_splits, p6_found, p6_pieces, p7_ids)
+        for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p5_found, p6_found, p6_pieces, p7_ids, p8_found)
     }
 
 
