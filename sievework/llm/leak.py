@@ -118,8 +118,8 @@ class ItemIndex:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def candidates(self, chars: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(item, from, to)``: stretches of the text with enough q-grams of the item in one band."""
+    def candidates(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(item, from, to, diagonal)``: stretches of the text with enough q-grams of the item in the band from the diagonal."""
         h = grams(chars, self.q)
         if not len(h):
             return []
@@ -145,7 +145,6 @@ class ItemIndex:
         where = np.repeat(at, n)
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot], n)
         item, diagonal = self.item[entry].astype(np.int64), where - self.place[entry]
-        found = []
         step, shift = self.edits + 1, int(diagonal.min())
         band = (diagonal - shift) // step
         key = item * (int(band.max()) + 2) + band
@@ -156,40 +155,49 @@ class ItemIndex:
         m = self.least - 1
         if len(key) <= m:
             return []
-        hit = (key[m:] == key[: len(key) - m]) & (where[m:] - where[: len(where) - m] <= span + self.edits)
-        for i in np.flatnonzero(hit):
-            a, b, k = int(where[i]), int(where[i + m]) + self.q, int(item[i])
-            if found and found[-1][0] == k and a <= found[-1][2]:
-                found[-1] = (k, found[-1][1], max(b, found[-1][2]))
-            else:
-                found.append((k, a, b))
-        return found
-
-    def aligned(self, text: str, k: int, a: int, b: int) -> tuple[int, int] | None:
-        """The longest stretch around ``text[a:b]`` that aligns with item ``k`` within the edits, or None.
-
-        Semi-global alignment by diagonals: from an exact core it runs to both
-        sides, spending one edit at a time within the band.
+        hit = np.flatnonzero((key[m:] == key[: len(key) - m]) & (where[m:] - where[: len(where) - m] <= span + self.edits))
+        if not len(hit):
+            return []
+        # Hits of one band that overlap make one region.
+        a, b, k = where[hit], where[hit + m] + self.q, key[hit]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] > b[:-1])])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit)) - 1
+        wide = k[first] % (int(band.max()) + 2)
+        wide = np.where(wide > int(band.max()), -1, wide)  # the band before the first
+        low = wide * step + shift
+        return list(zip(item[hit[first]].tolist(), a[first].tolist(), b[last].tolist(), low.tolist()))
+
+    def aligned(self, text: str, k: int, a: int, b: int, low: int, passed: dict[tuple[int, int], int]) -> tuple[int, int] | None:
+        """A stretch around ``text[a:b]`` that aligns with item ``k`` within the edits and is long enough, or None.
+
+        From each q-gram shared in the band of diagonals that begins at
+        ``low`` the alignment runs to both sides, one edit at a time.
+        ``passed`` keeps how far each diagonal has been tried.
         """
-        item = self.texts[k]
-        for at in range(a, max(a + 1, b - self.q + 1)):
-            seed = text[at : at + self.q]
-            p = item.find(seed)
-            while p >= 0:
-                right = _reach(text, at, item, p, self.edits)
-                left = _reach(text[: at + 1][::-1], 0, item[: p + 1][::-1], 0, self.edits)
-                if left + right - 1 >= self.w - self.edits:
-                    return at - left + 1, at + right
-                p = item.find(seed, p + 1)
+        item, q = self.texts[k], self.q
+        band = range(low, low + 2 * (self.edits + 1))
+        for at in range(a, b - q + 1):
+            for d in band:
+                p = at - d
+                if p < 0 or at < passed.get((k, d), -1) or text[at : at + q] != item[p : p + q]:
+                    continue
+                # All q-grams of one exact run have the same alignment: one try is enough.
+                passed[k, d] = at + _slide(text, at, item, p, 1)
+                right = _reach(text, at, item, p, self.edits, 1)
+                left = _reach(text, at - 1, item, p - 1, self.edits, -1)
+                if left + right >= self.w - self.edits:
+                    return at - left, at + right
         return None
 
-    def items_in(self, text: str, found: list[tuple[int, int, int]]) -> dict[int, int]:
+    def items_in(self, text: str, found: list[tuple[int, int, int, int]]) -> dict[int, int]:
         """Of the candidates, items with an exact run of words, and the aligned length."""
         out: dict[int, int] = {}
-        for k, a, b in found:
+        passed: dict[tuple[int, int], int] = {}
+        for k, a, b, low in sorted(found):
             if k in out:
                 continue
-            span = self.aligned(text, k, a, b)
+            span = self.aligned(text, k, a, b, low, passed)
             if span is None:
                 continue
             # Whole words around the region, with room for a run that reaches past it.
@@ -202,29 +210,43 @@ class ItemIndex:
         return out
 
 
-def _reach(a: str, i: int, b: str, j: int, edits: int) -> int:
-    """How far ``a`` from ``i`` agrees with ``b`` from ``j`` with at most ``edits`` edits, in characters of ``a``.
+CHUNK = 16
 
-    Furthest-reaching points by diagonal, one edit at a time.
-    """
 
-    def slide(x: int, y: int) -> int:
-        while x < len(a) and y < len(b) and a[x] == b[y]:
-            x, y = x + 1, y + 1
-        return x
+def _slide(a: str, x: int, b: str, y: int, way: int) -> int:
+    """How many characters agree from ``a[x]`` and ``b[y]`` on, to the right or to the left."""
+    n = 0
+    if way > 0:
+        while a[x + n : x + n + CHUNK] == b[y + n : y + n + CHUNK] and x + n + CHUNK <= len(a) and y + n + CHUNK <= len(b):
+            n += CHUNK
+        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+            n += 1
+    else:
+        while x - n >= 0 and y - n >= 0 and a[x - n] == b[y - n]:
+            n += 1
+    return n
 
-    far = {0: slide(i, j)}
+
+def _reach(a: str, i: int, b: str, j: int, edits: int, way: int) -> int:
+    """How far ``a`` agrees with ``b`` from the places on with at most ``edits`` edits, in characters of ``a``.
+
+    Furthest-reaching points by diagonal, one edit at a time.
+    """
+    size_a, size_b = (len(a) - i, len(b) - j) if way > 0 else (i + 1, j + 1)
+    far = {0: _slide(a, i, b, j, way)}
     best = far[0]
     for _ in range(edits):
-        nxt: dict[int, int] = {}
+        ahead: dict[int, int] = {}
         for d, x in far.items():
-            for step, ahead in ((0, x + 1), (1, x + 1), (-1, x)):  # replaced, only in a, only in b
-                y = ahead - i - (d + step) + j
-                if ahead <= len(a) and y <= len(b):
-                    nxt[d + step] = max(nxt.get(d + step, -1), slide(ahead, y))
-        far = nxt or far
+            for shift, x2 in ((0, x + 1), (1, x + 1), (-1, x)):  # replaced, only in a, only in b
+                y2 = x2 - d - shift
+                if x2 <= size_a and 0 <= y2 <= size_b:
+                    ahead[d + shift] = max(ahead.get(d + shift, -1), x2 + _slide(a, i + way * x2, b, j + way * y2, way))
+        if not ahead:
+            break
+        far = ahead
         best = max(best, *far.values())
-    return best - i
+    return min(best, size_a)
 
 
 def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list, list, list]:
@@ -240,13 +262,13 @@ def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list
         joined = gap.join(text for _, text in batch)
         by_doc: dict[int, list] = {}
         bounds = np.array(starts)
-        for k, a, b in index.candidates(codes(joined)):
+        for k, a, b, low in index.candidates(codes(joined)):
             i = int(np.searchsorted(bounds, a, "right")) - 1
             last = int(np.searchsorted(bounds, b - 1, "right")) - 1
             for d in range(i, last + 1):  # a stretch may touch the next document: look at both
                 lo, hi = max(0, a - starts[d]), min(len(batch[d][1]), b - starts[d])
                 if hi - lo >= index.q:
-                    by_doc.setdefault(d, []).append((k, lo, hi))
+                    by_doc.setdefault(d, []).append((k, lo, hi, low - starts[d]))
         for d, found in by_doc.items():
             for k, length in index.items_in(batch[d][1], found).items():
                 out_key.append(batch[d][0])
