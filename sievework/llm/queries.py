@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
 from ..sources.tables import table
-from . import chunks, components, encode, leak, neighbors, overlap, splits
+from . import chunks, components, encode, leak, neighbors, overlap, splits, subjects
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,10 +79,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of every document."""
+    documents = table(spark, folder, "documents")
+    return subjects.assign_subjects(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas")).distinct()
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per subject."""
+    return p9_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p5_found, p6_found, p6_pieces, p7_ids, p8_found)
+        for f in (p1_found, p2_found, p2_splits, p3_found, p3_report, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_composition)
     }
 
 
