@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested_queries
+from . import lexical_queries, nested_queries
 
-MODULES = (nested_queries,)
+MODULES = (lexical_queries, nested_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
