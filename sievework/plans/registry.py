@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_queries, nested_queries
+from . import lexical_queries, nested_queries, retrieval_queries
 
-MODULES = (lexical_queries, nested_queries)
+MODULES = (lexical_queries, nested_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval_queries.hybrid_topk(spark, folder)
