@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_queries, nested_queries, retrieval_queries
+from . import lexical_queries, nested_queries, retrieval_queries, vector_queries
 
-MODULES = (lexical_queries, nested_queries, retrieval_queries)
+MODULES = (lexical_queries, nested_queries, retrieval_queries, vector_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
