@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_queries, nested_queries, profile_queries, retrieval_queries, stream_queries, vector_queries
+from . import extraction_queries, lexical_queries, nested_queries, profile_queries, retrieval_queries, stream_queries, vector_queries
 
-MODULES = (lexical_queries, nested_queries, retrieval_queries, vector_queries, profile_queries, stream_queries)
+MODULES = (lexical_queries, nested_queries, retrieval_queries, vector_queries, profile_queries, stream_queries, extraction_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
