@@ -126,7 +126,7 @@ def nodes(forest: DataFrame, vectors: int, scratch: Scratch, most: int = NODE) -
         bits = min(BITS, bits + 2)
         longer = F.concat_ws(":", "tree", F.lit(bits), _prefix(bits))
         marked = lookup_join(keyed, big.select("node", F.lit(True).alias("big")), "node", "left")
-        keyed = scratch.save(marked.withColumn("node", F.when("big", longer).otherwise(F.col("node"))).drop("big"))
+        keyed = scratch.save(marked.withColumn("node", F.when(F.col("big"), longer).otherwise(F.col("node"))).drop("big"))
 
 
 def tiled(keyed: DataFrame) -> DataFrame:
