@@ -57,6 +57,8 @@ def pages(rows: DataFrame, key: str, size: int) -> DataFrame:
     found = rows.groupBy(F.floor(F.col(key) / size).alias("page")).agg(
         F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.countDistinct(key)).alias("repeated"), F.min(key).alias("first"), F.max(key).alias("last"),
     )
-    # One row per page: the order over pages is a window over few rows.
-    before = F.lag("last").over(Window.orderBy("page"))
-    return found.withColumn("follows", F.coalesce(F.col("first") == before + 1, F.lit(True)))
+    # The page before is found by its number, not by a window over all pages in one task.
+    before = found.select((F.col("page") + 1).alias("page"), (F.col("last") + 1).alias("expected"))
+    start = found.agg(F.min("page").alias("start"))
+    joined = found.join(before, "page", "left").crossJoin(F.broadcast(start))
+    return joined.withColumn("follows", F.coalesce(F.col("first") == F.col("expected"), F.col("page") == F.col("start"))).drop("expected", "start")

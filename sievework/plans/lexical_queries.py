@@ -57,6 +57,26 @@ def bm25_filtered_topk(spark, folder):
     return lexical.top_k(allowed, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _allowed(spark, folder, **more):
+    """Documents that a woman of forty days isn't ruled out of."""
+    bounds = filters.derived_bounds(_docs(spark, folder)).withColumns({"age_days": F.lit(40.0), "sex": F.lit("Female")})
+    return bounds.where(filters.compatible(**more)).select("doc_id")
+
+
+def compat_filter(spark, folder):
+    return _allowed(spark, folder)
+
+
+def compat_filter_tolerant(spark, folder):
+    return _allowed(spark, folder, tolerance=filters.TOLERANCE, known_values_only=True)
+
+
+def compat_theta_join(spark, folder):
+    """Documents that each topic isn't ruled out of, counted: the topics are a stated set, the condition is the join's own."""
+    topics, bounds = filters.derived_topics(table(spark, folder, "eval_items")), filters.derived_bounds(_docs(spark, folder))
+    return topics.join(bounds, filters.compatible()).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
 def query_audit(spark, folder):
     return lexical.query_audit(table(spark, folder, "eval_items"), _docs(spark, folder), "item_id", "doc_id")
 
@@ -121,6 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, normalize_words, bm25_stats, bm25_idf, bm25_doc_vectors, bm25_scores, bm25_filtered_topk, query_audit, run_file_lines,
+        compat_filter, compat_filter_tolerant, compat_theta_join,
         content_hash, hash_split, hash_sample, stratified_hash_sample, shingles, char_grams, passage_windows, token_prefix, truncation_audit,
     )
 }
@@ -136,6 +157,11 @@ SQL = {
     "bm25_filtered_topk": f"""WITH {sql.POSTINGS}, {filters.SQL_TOPICS}, {filters.SQL_BOUNDS}
         SELECT item_id, doc_id, rank, round(score, 6) AS score
         FROM ({_TOP} (SELECT s.* FROM scored s JOIN topics USING (item_id) JOIN bounds USING (doc_id) WHERE {filters.SQL_COMPATIBLE})) WHERE rank <= 10""",
+    "compat_filter": f"""WITH {filters.SQL_BOUNDS} SELECT doc_id FROM (SELECT *, 40.0::DOUBLE AS age_days, 'Female' AS sex FROM bounds) WHERE {filters.SQL_COMPATIBLE}""",
+    "compat_filter_tolerant": f"""WITH {filters.SQL_BOUNDS} SELECT doc_id FROM bounds WHERE NOT coalesce(40.0 + 1e-8 < min_days, false)
+        AND NOT coalesce(40.0 - 1e-8 > max_days, false) AND coalesce(lower(trim(wanted_sex)), '') != 'male'""",
+    "compat_theta_join": f"""WITH {filters.SQL_TOPICS}, {filters.SQL_BOUNDS}
+        SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM topics JOIN bounds ON {filters.SQL_COMPATIBLE} GROUP BY 1""",
     "query_audit": f"""WITH {sql.POSTINGS} SELECT item_id, coalesce(tokens, 0) AS tokens, coalesce(known_terms, 0) AS known_terms,
         coalesce(unknown_terms, '') AS unknown_terms, coalesce(known_terms, 0) = 0 AS empty_query
         FROM eval_items LEFT JOIN (SELECT item_id, sum(n)::BIGINT AS tokens, count(df) AS known_terms,
