@@ -1,11 +1,11 @@
 """Problem 7: encoding of a corpus with a public byte-level BPE tokenizer.
 
 Bytes are mapped to Latin-1, so that the vocabulary fits an Aho-Corasick
-automaton over strings. One pass of the automaton over a word gives, for every
-start, the tokens that begin there, longest first. The encoder takes the
-longest token that agrees with its left neighbour; where none is left it steps
-back, tries the next shorter one, and never returns to a place found hopeless,
-so every place is left at most once per token length.
+automaton over strings. One pass of the automaton over a word gives the longest
+token at every start. The encoder takes it if it agrees with its left
+neighbour, else the next shorter token that is its prefix; where none is left
+it steps back, and never returns to a place found hopeless, so every place is
+left at most once per token length.
 
 Two adjacent tokens agree when merging their joint bytes gives just these two
 again. A sequence all of whose neighbours agree is the result of the merges, so
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,10 +48,12 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.automaton = ahocorasick.Automaton()
         for token, number in self.rank.items():
-            self.automaton.add_word(token, (len(token), number, token))
+            self.automaton.add_word(token, (len(token), number))
         self.automaton.make_automaton()
         self.words: dict[str, list[int]] = {}
+        self.names = {number: token for token, number in self.rank.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.prefix: dict[int, int] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merge procedure itself; used on two tokens at a time."""
@@ -66,55 +69,66 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def agree(self, left: tuple[int, int, str], right: tuple[int, int, str]) -> bool:
-        key = (left[1], right[1])
+    def agree(self, left: int, right: int) -> bool:
+        key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            known = self.merge(left[2] + right[2]) == [left[2], right[2]]
+            a, b = self.names[left], self.names[right]
+            known = self.merge(a + b) == [a, b]
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
+    def shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of a token, or -1."""
+        known = self.prefix.get(token)
+        if known is None:
+            name, known = self.names[token], -1
+            for n in range(len(name) - 1, 0, -1):
+                known = self.rank.get(name[:n], -1)
+                if known >= 0:
+                    break
+            self.prefix[token] = known
+        return known
+
     def backtrack(self, text: str) -> list[int]:
-        """Ids of one word, given as Latin-1 of its bytes."""
-        size = len(text)
-        begin: list[list[tuple[int, int, str]]] = [[] for _ in range(size)]
-        for end, token in self.automaton.iter(text):
-            begin[end - token[0] + 1].append(token)
-        # The automaton reports ends in order, so each list grows in length: the longest is last.
-        chosen: list[tuple[int, int, str]] = []
-        left_to_try: list[int] = []
+        """Ids of one word, given as Latin-1 of its bytes.
+
+        Keeps the longest token at each start and, on a way back, goes from a
+        token to the next shorter one: memory is a few numbers per byte.
+        """
+        size, names = len(text), self.names
+        longest = array("i", [-1]) * size
+        # The automaton reports ends in order, so the last token of a start is its longest.
+        for end, (length, number) in self.automaton.iter(text):
+            longest[end - length + 1] = number
+        chosen = array("i")
         hopeless = bytearray(size + 1)
-        at = 0
-        upto = len(begin[0])
-        while at < size:
-            here, found = begin[at], False
-            while upto:
-                upto -= 1
-                token = here[upto]
-                after = at + token[0]
-                if hopeless[after]:
-                    continue
-                if chosen:
-                    if not self.agree(chosen[-1], token):
-                        continue
-                elif after == size and len(self.merge(text)) != 1:
-                    continue
-                found = True
-                break
-            if found:
+        at, token = 0, longest[0]
+        while True:
+            while token >= 0:
+                after = at + len(names[token])
+                if not hopeless[after]:
+                    if chosen:
+                        if self.agree(chosen[-1], token):
+                            break
+                    elif after < size or len(self.merge(text)) == 1:
+                        break
+                token = self.shorter(token)
+            if token >= 0:
                 chosen.append(token)
-                left_to_try.append(upto)
                 at = after
-                upto = len(begin[at]) if at < size else 0
+                if at == size:
+                    return chosen.tolist()
+                token = longest[at]
             else:
                 hopeless[at] = 1
                 if not chosen:
                     raise ValueError("the vocabulary lacks a byte")
-                at -= chosen.pop()[0]
-                upto = left_to_try.pop()
-        return [token[1] for token in chosen]
+                last = chosen.pop()
+                at -= len(names[last])
+                token = self.shorter(last)
 
     def encode(self, text: str) -> list[int]:
         words, out = self.words, []
