@@ -29,8 +29,8 @@ def words(text: str | Column) -> Column:
 
 
 def normal_words(text: str | Column) -> Column:
-    """Lower-case words joined by one blank."""
-    return F.array_join(words(text), " ")
+    """Lower-case words joined by one blank: what isn't a word becomes the blank, without a list in between."""
+    return F.trim(F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}_]+", " "))
 
 
 def _once(value: Column, then) -> Column:

@@ -21,7 +21,7 @@ WORDS, SIMILARITY = 5, 0.8
 
 def classes(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, class_id)``: documents with equal words share the smallest id; texts without a word have none."""
-    worded = documents.select(key, F.sha2(normal_words(text), 256).alias("digest"), F.length(normal_words(text)).alias("n")).where("n > 0")
+    worded = documents.select(key, F.sha2(F.nullif(normal_words(text), F.lit("")), 256).alias("digest")).where("digest is not null")
     first = worded.groupBy("digest").agg(F.min(key).alias("class_id"))
     return lookup_join(worded.select(key, "digest"), first, "digest").select(key, "class_id")
 

@@ -150,7 +150,7 @@ _TOP = "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id O
 SQL = {
     "tokenize": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL",
     "normalize_words": f"SELECT doc_id, array_to_string({sql.words('text')}, ' ') AS words FROM documents WHERE text IS NOT NULL",
-    "bm25_stats": f"WITH {sql.POSTINGS} SELECT documents, terms, round(average_length, 6) AS average_length FROM stats",
+    "bm25_stats": f"WITH {sql.POSTINGS} SELECT documents, terms::BIGINT AS terms, round(average_length, 6) AS average_length FROM stats",
     "bm25_idf": f"WITH {sql.POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_doc_vectors": f"WITH {sql.POSTINGS} SELECT doc_id, term, round(weight, 6) AS weight FROM vectors",
     "bm25_scores": f"WITH {sql.POSTINGS} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM ({_TOP} scored) WHERE rank <= 10",

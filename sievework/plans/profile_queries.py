@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import demographics
-from ..functions.ids import case_key
+from ..functions.ids import case_key, trial_key
 from ..operators import evaluation as E
 from ..operators import logic, profile, registry
 from ..sources import xmlrecords
@@ -68,7 +68,14 @@ def catalog_page(spark, folder):
 def xml_extract_fields(spark, folder):
     """Fields of XML records, read back by path, white space normalised."""
     s = table(spark, folder, "inspection").where("raw_record is null")
-    return xmlrecords.extract(s.select("record_id", xmlrecords.write(s).alias("xml")), "record_id", "xml")
+    return xmlrecords.extract(s.select("record_id", xmlrecords.write().alias("xml")), "record_id", "xml")
+
+
+def corpus_validate(spark, folder):
+    """Studies packed into archives of XML records, scanned member by member and held against the judged trials."""
+    s = table(spark, folder, "inspection").where("raw_record is null").select(trial_key("trial_id").alias("trial_id"), xmlrecords.write().alias("xml"))
+    members = xmlrecords.scan_archives(xmlrecords.archives_of(s, "trial_id", "xml"))
+    return xmlrecords.validate_corpus(members, judged(spark, folder))
 
 
 def _captures(spark, folder):
@@ -221,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         field_state_counts, categorical_profile, json_field_state, json_path_inventory, missing_info_list, render_representations, catalog_page,
-        xml_extract_fields, registry_classify, late_regressions, date_window, watermark_chain, page_issues, cursor_chain, kleene_ops, logic_eval, softmax,
+        xml_extract_fields, corpus_validate, registry_classify, late_regressions, date_window, watermark_chain, page_issues, cursor_chain, kleene_ops, logic_eval, softmax,
         nli_proposal, calibration, calibration_error, choose_temperature, wilson_lower, topic_demographics, age_bound_days, confusion_matrix, multiset_prf,
         outcome_transitions, coverage_summary,
     )

@@ -25,8 +25,8 @@ def _element(name: str, c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), _escaped(c), F.lit(f"</{name}>"))).otherwise("")
 
 
-def write(studies: DataFrame) -> Column:
-    """One XML record per study: id, status and conditions."""
+def write() -> Column:
+    """The XML record of a study: id, status and conditions."""
     conditions = F.array_join(F.transform(F.filter("conditions", lambda x: x.isNotNull()), lambda x: _element("condition", x)), "")
     return F.concat(
         F.lit("<clinical_study>"), _element("nct_id", F.col("trial_id")), _element("overall_status", F.col("overall_status")),
@@ -86,8 +86,8 @@ def _member_issue(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str
     return (found, None) if found == wanted else (None, "id_differs_from_name")
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, member, trial_id, issue)`` of all members of all ZIP archives below a path; one task per archive file split."""
+def scan_archives(files: DataFrame) -> DataFrame:
+    """``(archive, member, trial_id, issue)`` of all members of ZIP archives given as ``(path, content)``."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -104,10 +104,30 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((name, info.filename, *_member_issue(archive, info)))
             yield pd.DataFrame(rows, columns=["archive", "member", "trial_id", "issue"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(scan, "archive string, member string, trial_id string, issue string")
 
 
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """Members of all archives below a path; an archive is read by one task."""
+    return scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
+
+
+def archives_of(records: DataFrame, name: str, xml: str, members: int = 500) -> DataFrame:
+    """``(path, content)``: records packed into ZIP archives of about ``members`` each, by the hash of their names."""
+    count = max(1, -(-records.count() // members))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for member, text in sorted(zip(part["member"], part["xml"])):
+                archive.writestr(zipfile.ZipInfo(f"{member}.xml"), text)
+        return pd.DataFrame({"path": [f"part-{part['part'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    named = records.select(F.col(name).alias("member"), F.col(xml).alias("xml")).where("member is not null and xml is not null")
+    parts = named.withColumn("part", F.pmod(F.xxhash64("member"), F.lit(count)))
+    return parts.groupBy("part").applyInPandas(pack, "path string, content binary")
+
+
 def validate_corpus(members: DataFrame, judged_ids: DataFrame) -> DataFrame:
     """``(issue, rows)``: member issues, ids that occur twice, and judged ids that no archive holds."""
     good = members.where("issue is null")
