@@ -26,9 +26,9 @@ def classes(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     return lookup_join(worded.select(key, "digest"), first, "digest").select(key, "class_id")
 
 
-def class_links(documents: DataFrame, key: str, scratch: Scratch, text: str = "text", similarity: float = SIMILARITY, n: int = WORDS) -> DataFrame:
-    """``(a, b, similarity)`` of classes, ``a < b``."""
-    named = classes(documents, key, text).where(F.col(key) == F.col("class_id")).select(key)
+def class_links(documents: DataFrame, key: str, scratch: Scratch, text: str = "text", similarity: float = SIMILARITY, n: int = WORDS, known: DataFrame | None = None) -> DataFrame:
+    """``(a, b, similarity)`` of classes, ``a < b``; ``known`` are the classes where they are at hand."""
+    named = (classes(documents, key, text) if known is None else known).where(F.col(key) == F.col("class_id")).select(key)
     sets = documents.join(named, key, "left_semi").select(F.col(key).alias("id"), F.transform(shingles(text, n), lambda s: F.xxhash64(s)).alias("set"))
     sets = scratch.save(sets.withColumn("set", F.array_sort(F.array_distinct("set"))).withColumn("n", F.size("set")).where("n > 0"))
     single = sets.select("id", "n", F.explode("set").alias("h"))
@@ -52,10 +52,11 @@ def components(documents: DataFrame, key: str, scratch: Scratch, text: str = "te
     ``group_id`` is the smallest id among all documents linked directly or
     indirectly, ``links`` the number of other classes its class is linked to.
     """
-    links = scratch.save(class_links(documents, key, scratch, text, similarity))
+    known = scratch.save(classes(documents, key, text))
+    links = scratch.save(class_links(documents, key, scratch, text, similarity, known=known))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     labels = min_label(links, scratch).select(F.col("node").alias("class_id"), "label")
-    found = classes(documents, key, text).join(labels, "class_id", "left").join(degree, "class_id", "left")
+    found = known.join(labels, "class_id", "left").join(degree, "class_id", "left")
     return found.select(key, "class_id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
