@@ -1,16 +1,21 @@
 """Problem 2: splits that keep related records together.
 
-A component table ``(node, component, split)`` is kept from batch to batch. A
-batch of new links is first contracted to components already known; what then
+A component table ``(node, component, split, stands)`` is kept from batch to
+batch. A batch of new links is first contracted to components already known; what then
 remains is merged by pointer jumping: every component points to its smallest
 neighbour, pointers are doubled until each shows to a root, links are redrawn
 between roots, and so on until no link is left.
 
 Components of earlier batches keep their split. A merged component that holds
 parts of one split takes it; one that holds parts of several splits is a
-conflict: the known parts keep theirs and whatever is new in it, and every pair
-whose ends disagree, goes to ``quarantine``. Components without any known part
-are new; they fill the splits that are furthest below their share.
+conflict: the part in the split of the largest share stands, the pairs of all
+other parts, whatever is new, and every pair whose ends disagree go to
+``quarantine``, so no component has pairs in two splits. The table still says
+in ``split`` which split a node was given; ``stands`` is the one its pairs may
+be used in. As that order of splits is fixed, a pair in quarantine never comes
+back; pairs of earlier batches can go there, so ``split_pairs`` of the newest
+table holds for them too. Components without any known part are new; they fill
+the splits that are furthest below their share.
 
 Edge cases: null and blank ids link nothing; a pair with one id belongs to that
 id's component; a pair with neither is left out; redelivered pairs count once;
@@ -30,7 +35,7 @@ from .components import link_edges
 PROPORTIONS = {"train": 0.6, "dev": 0.2, "test": 0.2}
 QUARANTINE = "quarantine"
 BINS = 4096
-TABLE_SCHEMA = "node string, component string, split string"
+TABLE_SCHEMA = "node string, component string, split string, stands string"
 
 
 def _relabel(rows: DataFrame, column: str, pointers: DataFrame, hot_rows: int) -> DataFrame:
@@ -96,13 +101,16 @@ def batch_edges(ends: DataFrame, matches: DataFrame | None) -> DataFrame:
     return edges.distinct()
 
 
-def update_components(table: DataFrame | None, edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
+def update_components(
+    table: DataFrame | None, edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS, proportions: dict[str, float] | None = None,
+) -> DataFrame:
     """The component table after a batch of links; ``split`` is null where none is given yet.
 
-    Returns ``(node, component, split)``: every node known before or new, its
-    component after all merges, and its split: its own from before if it had
-    one, else the one its merged component holds, else ``quarantine`` where
-    that component holds several.
+    Returns ``(node, component, split, stands)``: every node known before or
+    new, its component after all merges, its split: its own from before if it
+    had one, else the one its merged component holds, else ``quarantine`` where
+    that component holds several; and the same with ``quarantine`` for all
+    splits of a component but one, that of the largest share.
     """
     spark = edges.sparkSession
     if table is None:
@@ -112,18 +120,25 @@ def update_components(table: DataFrame | None, edges: DataFrame, scratch: Scratc
     merged = merge_by_jumping(drawn, scratch, hot_rows)
     nodes = (
         edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        .join(table, "node", "full")
+        .join(table.select("node", "component", "split"), "node", "full")
         .withColumn("component", F.coalesce("component", "node"))
     )
     nodes = _relabel(nodes, "component", merged.select("node", F.col("root").alias("parent")), hot_rows)
     nodes = scratch.save(nodes.select("node", "component", "split"))
+    shares = proportions or PROPORTIONS
+    order = F.array(*(F.lit(s) for s in sorted(shares, key=lambda s: (-shares[s], s))))
+    place = F.array_position(order, F.col("split"))
     held = (
         nodes.where(f"split is not null and split != '{QUARANTINE}'").groupBy("component")
-        .agg(F.min("split").alias("low"), F.max("split").alias("high"))
-        .select("component", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(QUARANTINE)).alias("held"))
+        .agg(
+            F.min("split").alias("low"), F.max("split").alias("high"),
+            F.min(F.struct(F.when(place > 0, place).otherwise(F.size(order) + 1), "split")).getField("split").alias("first"),
+        )
+        .select("component", "first", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(QUARANTINE)).alias("held"))
     )
+    given = F.coalesce("split", "held")
     return lookup_join(nodes, held, "component", "left", hot_rows).select(
-        "node", "component", F.coalesce("split", "held").alias("split")
+        "node", "component", given.alias("split"), F.when(given != F.col("first"), F.lit(QUARANTINE)).otherwise(given).alias("stands")
     )
 
 
@@ -157,11 +172,12 @@ def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, fl
     of_large = spark.createDataFrame([(r["component"], place(r["n"])) for r in large], "component string, given string")
     of_bin = spark.createDataFrame([(r["bin"], place(r["n"])) for r in bins], "bin long, by_bin string")
     rest = min(proportions, key=lambda s: (-proportions[s], s))
+    new = F.coalesce("given", "by_bin", F.lit(rest))
     return (
         components.withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(BINS)))
         .join(F.broadcast(of_large), "component", "left")
         .join(F.broadcast(of_bin), "bin", "left")
-        .select("node", "component", F.coalesce("split", "given", "by_bin", F.lit(rest)).alias("split"))
+        .select("node", "component", F.coalesce("split", new).alias("split"), F.coalesce("stands", new).alias("stands"))
     )
 
 
@@ -174,15 +190,16 @@ def assign_splits(
     Write the table and pass it with the next batch to go on from there.
     """
     ends = scratch.save(pair_ends(pairs))
-    grown = scratch.save(update_components(table, batch_edges(ends, matches), scratch, hot_rows))
-    table = scratch.save(assign_new(grown, ends, proportions or PROPORTIONS, hot_rows))
+    shares = proportions or PROPORTIONS
+    grown = scratch.save(update_components(table, batch_edges(ends, matches), scratch, hot_rows, shares))
+    table = scratch.save(assign_new(grown, ends, shares, hot_rows))
     return table, split_pairs(ends, table, hot_rows)
 
 
 def split_pairs(ends: DataFrame, table: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(pair_id, c, t, component, split)``; pairs whose ends disagree are in quarantine."""
-    of_c = table.select(F.col("node").alias("c"), F.col("component").alias("cc"), F.col("split").alias("cs"))
-    of_t = table.select(F.col("node").alias("t"), F.col("component").alias("tc"), F.col("split").alias("ts"))
+    """``(pair_id, c, t, component, split)``; pairs whose ends disagree, and all of a component outside the split that stands, are in quarantine."""
+    of_c = table.select(F.col("node").alias("c"), F.col("component").alias("cc"), F.col("stands").alias("cs"))
+    of_t = table.select(F.col("node").alias("t"), F.col("component").alias("tc"), F.col("stands").alias("ts"))
     both = lookup_join(lookup_join(ends, of_c, "c", "left", hot_rows), of_t, "t", "left", hot_rows)
     agree = F.coalesce(F.col("cs") == F.col("ts"), F.lit(True))
     return both.select(

@@ -137,6 +137,39 @@ def test_later_batches_keep_splits_and_quarantine_conflicts(spark):
     assert got[102] in ("train", "dev", "test") and got[103] == old[f"t|T{c}"]
 
 
+def test_no_bundle_in_two_splits_after_a_conflicting_batch(spark):
+    pairs = [(i, f"c{i // 2}", f"T{i}") for i in range(80)]
+    first, _ = frames(spark, pairs, [])
+    scratch = Scratch(spark)
+    table, split = splits.assign_splits(first, None, scratch)
+    old = {x["pair_id"]: x["split"] for x in split.collect()}
+    by = {s: [i // 2 for i in range(0, 80, 2) if old[i] == s] for s in splits.PROPORTIONS}
+    # Train joins test by a matched case, dev joins test by a pair; a third batch joins the first conflict to another train part.
+    second, matches = frames(
+        spark, [(100, f"c{by['dev'][0]}", f"T{2 * by['test'][1]}"), (101, "c900", f"T{2 * by['test'][0]}")], [("case", f"C{by['train'][0]}", f"c{by['test'][0]}", True)]
+    )
+    table, _ = splits.assign_splits(second, matches, scratch, table)
+    third, _ = frames(spark, [(102, f"c{by['train'][1]}", "T900"), (103, f"c{by['test'][0]}", "T900")], [])
+    batches = pairs + [(100, f"c{by['dev'][0]}", f"T{2 * by['test'][1]}"), (101, "c900", f"T{2 * by['test'][0]}")]
+    seen = None
+    for more in ([], [(102, f"c{by['train'][1]}", "T900"), (103, f"c{by['test'][0]}", "T900")]):
+        if more:
+            table, _ = splits.assign_splits(third, None, scratch, table)
+        every, _ = frames(spark, batches + more, [])
+        rows = splits.split_pairs(splits.pair_ends(every), table).collect()
+        sides = {}
+        for x in rows:
+            if x["split"] != "quarantine":
+                sides.setdefault(x["component"], set()).add(x["split"])
+        assert all(len(s) == 1 for s in sides.values())
+        new = {x["pair_id"]: x["split"] for x in rows}
+        assert all(new[2 * by["train"][0] + k] == "train" and new[2 * by["test"][0] + k] == "quarantine" for k in (0, 1))
+        assert all(new[2 * by["dev"][0] + k] == "dev" and new[2 * by["test"][1] + k] == "quarantine" for k in (0, 1))
+        assert all(new[i] == s for i, s in old.items() if i // 2 not in (by["test"][0], by["test"][1]))
+        assert seen is None or all(new[i] == "quarantine" for i, s in seen.items() if s == "quarantine")
+        seen = new
+
+
 def test_bad_proportions(spark):
     p, _ = frames(spark, [(1, "c", "T")], [])
     with pytest.raises(ValueError):
