@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import demographics
 from ..functions.ids import case_key, trial_key
 from ..operators import evaluation as E
-from ..operators import logic, profile, registry
+from ..operators import logic, nested, profile, registry
 from ..sources import xmlrecords
 from ..sources.tables import table
 from . import sql
@@ -65,15 +65,26 @@ def catalog_page(spark, folder):
     return profile.page(s, ["trial_id", "record_id"], 20, 50)
 
 
+def _studies(spark, folder):
+    """All studies, parsed and raw alike; those of damaged raw records have no conditions."""
+    own = F.struct("record_id", "trial_id", "overall_status")
+    return nested.typed_records(table(spark, folder, "inspection").select(own.alias("own"), "raw_record", *(f[0] for f in nested.FIELDS)), "own").select("own.*", "conditions")
+
+
 def xml_extract_fields(spark, folder):
-    """Fields of XML records, read back by path, white space normalised."""
+    """Fields of XML records, read back by path, white space normalised; as in its SQL, those of parsed records only."""
     s = table(spark, folder, "inspection").where("raw_record is null")
     return xmlrecords.extract(s.select("record_id", xmlrecords.write().alias("xml")), "record_id", "xml")
 
 
+def xml_extract_all(spark, folder):
+    """What ``xml_extract_fields`` gives, of all records; there is no SQL, since conditions of raw records come from the automaton."""
+    return xmlrecords.extract(_studies(spark, folder).select("record_id", xmlrecords.write().alias("xml")), "record_id", "xml")
+
+
 def corpus_validate(spark, folder):
     """Studies packed into archives of XML records, scanned member by member and held against the judged trials."""
-    s = table(spark, folder, "inspection").where("raw_record is null").select(trial_key("trial_id").alias("trial_id"), xmlrecords.write().alias("xml"))
+    s = _studies(spark, folder).select(trial_key("trial_id").alias("trial_id"), xmlrecords.write().alias("xml"))
     members = xmlrecords.scan_archives(xmlrecords.archives_of(s, "trial_id", "xml"))
     return xmlrecords.validate_corpus(members, judged(spark, folder))
 
@@ -228,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         field_state_counts, categorical_profile, json_field_state, json_path_inventory, missing_info_list, render_representations, catalog_page,
-        xml_extract_fields, corpus_validate, registry_classify, late_regressions, date_window, watermark_chain, page_issues, cursor_chain, kleene_ops, logic_eval, softmax,
+        xml_extract_fields, xml_extract_all, corpus_validate, registry_classify, late_regressions, date_window, watermark_chain, page_issues, cursor_chain, kleene_ops, logic_eval, softmax,
         nli_proposal, calibration, calibration_error, choose_temperature, wilson_lower, topic_demographics, age_bound_days, confusion_matrix, multiset_prf,
         outcome_transitions, coverage_summary,
     )

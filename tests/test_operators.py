@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -198,3 +199,20 @@ def test_entry_without_the_optional_subpackage(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_studies_of_raw_records_are_written_and_validated(spark, tmp_path):
+    from sievework.plans import profile_queries as P
+    from test_nested import SCHEMA, raw, row
+
+    ids = spark.createDataFrame([(1, "NCT90000001", "A"), (2, "NCT90000002", None), (3, "NCT90000003", "B")], "record_id long, trial_id string, overall_status string")
+    rows = [row(1, None, conditions=["a", None, "b"]), row(2, raw(conditionsModule=json.dumps({"conditions": ["c & d", None, "e"]}))), row(3, "{damaged")]
+    spark.createDataFrame(rows, SCHEMA).join(ids, "record_id").write.parquet(f"{tmp_path}/inspection.parquet")
+    pairs = [(i, f"c{i}", f"NCT9000000{i}", 1) for i in range(1, 5)]
+    spark.createDataFrame(pairs, "pair_id long, case_id string, trial_id string, grade int").selectExpr(
+        "*", "'s' sampler", "1 dense_rank", "1 bm25_rank", "0.5D dense_score", "0.5D bm25_score", "0.5D mining_rrf", "'r' reason", "1L source_line",
+        "timestamp'2031-01-01' mined_at", "timestamp'2031-01-01' delivered_at",
+    ).write.parquet(f"{tmp_path}/hard_negatives.parquet")
+    got = {x["record_id"]: (x["overall_status"], x["conditions"], x["n_conditions"]) for x in P.xml_extract_all(spark, str(tmp_path)).collect()}
+    assert got == {1: ("A", "a b", 2), 2: ("", "c & d e", 2), 3: ("B", "", 0)}
+    assert {(x["issue"], x["rows"]) for x in P.corpus_validate(spark, str(tmp_path)).collect()} >= {("judged_but_missing", 1)}
