@@ -48,6 +48,24 @@ def test_strongest_boundary_wins(spark):
     assert all(p.endswith(". ") for p in cut(spark, sentence))
 
 
+@pytest.mark.parametrize("words", [
+    ["a" * 299, "b" * 700, "c" * 600],  # only a boundary before the usual ones
+    ["a" * 970, "b" * 900, "c" * 500],  # behind them, in the first piece and later
+    ["a" * 700, "b" * 49, "c" * 915, "d" * 300],  # nearer than the overlap is long
+    ["a" * 150, "b" * 880, "c" * 905],  # the end in reach
+])
+def test_no_word_is_cut_with_a_boundary_in_reach(spark, words):
+    text = " ".join(words)
+    pieces = cut(spark, text)
+    assert all(p.endswith(" ") for p in pieces[:-1]) and pieces[-1].endswith(words[-1][-80:])
+    assert all(len(p) <= 1000 for p in pieces)
+    frame = spark.createDataFrame([(1, text)], "id long, body string")
+    rows = chunks.split_items(frame, "id", ["body"], []).orderBy("piece_no").collect()
+    for before, after in zip(rows, rows[1:]):
+        assert 80 <= before["end_at"] - after["start_at"] <= 200 and before["start_at"] < after["start_at"]
+    assert all(x["piece"] == text[x["start_at"]:x["end_at"]] for x in rows) and rows[-1]["end_at"] == len(text)
+
+
 def test_marks_and_line_ends_stay_together(spark):
     for piece in cut(spark, "é" * 1200):
         assert not piece.startswith("́")
