@@ -30,7 +30,7 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     pairs, matches = table(spark, folder, "hard_negatives"), table(spark, folder, "record_matches")
     early = "delivered_at < timestamp'2031-09-01' or delivered_at is null"
     seen, _ = splits.assign_splits(pairs.where(early), None, scratch)
-    grown, _ = splits.assign_splits(pairs.where(f"not ({early})"), matches, scratch, seen)
+    grown, _ = splits.assign_splits(pairs.where(f"not ({early})"), matches, scratch, seen, earlier=pairs.where(early))
     return splits.split_pairs(splits.pair_ends(pairs), grown).select("pair_id", "component", "split")
 
 

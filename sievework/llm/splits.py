@@ -1,10 +1,10 @@
 """Problem 2: splits that keep related records together.
 
 A component table ``(node, component, split, stands)`` is kept from batch to
-batch. A batch of new links is first contracted to components already known; what then
-remains is merged by pointer jumping: every component points to its smallest
-neighbour, pointers are doubled until each shows to a root, links are redrawn
-between roots, and so on until no link is left.
+batch. A batch of new links is first contracted to components already known;
+what then remains is merged by pointer jumping: every component points to its
+smallest neighbour, pointers are doubled until each shows to a root, links are
+redrawn between roots, and so on until no link is left.
 
 Components of earlier batches keep their split. A merged component that holds
 parts of one split takes it; one that holds parts of several splits is a
@@ -15,7 +15,7 @@ in ``split`` which split a node was given; ``stands`` is the one its pairs may
 be used in. As that order of splits is fixed, a pair in quarantine never comes
 back; pairs of earlier batches can go there, so ``split_pairs`` of the newest
 table holds for them too. Components without any known part are new; they fill
-the splits that are furthest below their share.
+the splits that are furthest below their share of all pairs, earlier ones too.
 
 Edge cases: null and blank ids link nothing; a pair with one id belongs to that
 id's component; a pair with neither is left out; redelivered pairs count once;
@@ -143,7 +143,7 @@ def update_components(
 
 
 def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``components`` with every null split filled.
+    """``components`` with every null split filled; ``ends`` are those of all pairs that count for the shares.
 
     New components of more than a ``BINS``-th of all pairs (at most ``BINS``)
     are placed one by one, largest first; the others by the bin of their hash.
@@ -153,8 +153,7 @@ def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, fl
     if not proportions or any(p <= 0 for p in proportions.values()):
         raise ValueError("proportions must be positive")
     total_share = sum(proportions.values())
-    node = ends.select(F.coalesce("c", "t").alias("node"))
-    sized = lookup_join(node, components, "node", "inner", hot_rows).groupBy("component", "split").agg(F.count(F.lit(1)).alias("n"))
+    sized = split_pairs(ends, components, hot_rows).groupBy("component", "split").agg(F.count(F.lit(1)).alias("n"))
     have = {r["split"]: r["n"] for r in sized.groupBy("split").agg(F.sum("n").alias("n")).collect()}
     total = sum(n for s, n in have.items() if s != QUARANTINE)
     open_ = sized.where("split is null").select("component", "n", F.pmod(F.xxhash64("component"), F.lit(BINS)).alias("bin"))
@@ -183,16 +182,20 @@ def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, fl
 
 def assign_splits(
     pairs: DataFrame, matches: DataFrame | None, scratch: Scratch, table: DataFrame | None = None,
-    proportions: dict[str, float] | None = None, hot_rows: int = HOT_ROWS,
+    proportions: dict[str, float] | None = None, hot_rows: int = HOT_ROWS, earlier: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Split one batch; returns ``(component table, pairs with component and split)``.
 
-    Write the table and pass it with the next batch to go on from there.
+    Write the table and pass it with the next batch to go on from there, and
+    the pairs of the batches before as ``earlier``, so that the shares are
+    those of all pairs; a pair delivered in both counts once.
     """
     ends = scratch.save(pair_ends(pairs))
+    columns = ("pair_id", "case_id", "trial_id")
+    every = ends if earlier is None else scratch.save(pair_ends(earlier.select(*columns).union(pairs.select(*columns))))
     shares = proportions or PROPORTIONS
     grown = scratch.save(update_components(table, batch_edges(ends, matches), scratch, hot_rows, shares))
-    table = scratch.save(assign_new(grown, ends, shares, hot_rows))
+    table = scratch.save(assign_new(grown, every, shares, hot_rows))
     return table, split_pairs(ends, table, hot_rows)
 
 

@@ -170,6 +170,19 @@ def test_no_bundle_in_two_splits_after_a_conflicting_batch(spark):
         seen = new
 
 
+def test_later_batches_make_up_for_a_skewed_one(spark):
+    pairs = [(i, "c0" if i < 80 else f"c{i}", f"T{i}") for i in range(100)]
+    more = [(i, f"c{i}", f"T{i}") for i in range(100, 200)]
+    scratch = Scratch(spark)
+    first, _ = frames(spark, pairs, [])
+    second, _ = frames(spark, [*more, pairs[5], pairs[90]], [])
+    table, _ = splits.assign_splits(first, None, scratch)
+    table, _ = splits.assign_splits(second, None, scratch, table, earlier=first)
+    every, _ = frames(spark, pairs + more, [])
+    rows = splits.split_pairs(splits.pair_ends(every), table).groupBy("split").count().collect()
+    assert {x["split"]: round(x["count"] / 200, 1) for x in rows} == {"train": 0.6, "dev": 0.2, "test": 0.2}
+
+
 def test_bad_proportions(spark):
     p, _ = frames(spark, [(1, "c", "T")], [])
     with pytest.raises(ValueError):
