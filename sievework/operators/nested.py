@@ -52,19 +52,27 @@ FIELDS = [
     ("interventions", "armsInterventionsModule", "interventions", "intervention"),
     ("locations", "contactsLocationsModule", "locations", "location"),
 ]
-MOST_LAYERS = 4
+MOST_DIGITS = 4000
 
 
 def _refuse(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+class Digits(str):
+    """An integer too long for ``int``, as it is written."""
+
+
+def _int(digits: str):
+    return int(digits) if len(digits) <= MOST_DIGITS else Digits(digits)
+
+
 def parse(text: str | None):
     """A JSON value, or None for text that isn't JSON."""
     if text is None:
         return None
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return json.loads(text, parse_constant=_refuse, parse_int=_int)
     except (ValueError, RecursionError):
         return None
 
@@ -76,9 +84,7 @@ def _plain(text: str) -> str:
 
 def module(value) -> dict:
     """A module's object, also where it is given as JSON text; else an empty one."""
-    for _ in range(MOST_LAYERS):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str) and not isinstance(value, Digits):
         value = parse(value)
     return value if isinstance(value, dict) else {}
 

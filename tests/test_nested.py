@@ -79,3 +79,15 @@ def test_subtypes_agree_with_nodes_and_variants(spark):
 def test_empty_table(spark):
     frame = nested.typed_records(spark.createDataFrame([], SCHEMA))
     assert nested.shred(frame, "record_id", ["phases"]).count() == 0
+
+
+def test_long_integers_and_many_layers_lose_nothing(spark):
+    digits = "7" * 5000
+    layered = {"phases": ["P1"]}
+    for _ in range(7):
+        layered = json.dumps(layered)
+    long = '{"protocolSection": {"designModule": {"phases": ["P1", %s]}}, "unknown": %s}' % (digits, digits)
+    got = found(spark, row(1, long), row(2, raw(designModule=layered)))
+    assert got == {(1, "/phases/0", ""), (1, "/phases/1", ""), (2, "/phases/0", "")}
+    frame = nested.typed_records(spark.createDataFrame([row(1, long)], SCHEMA))
+    assert frame.first()["phases"] == ["P1", digits]
