@@ -49,3 +49,21 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     for part in parts:
         out = out.unionByName(part)
     return out
+
+
+def salted_join(rows: DataFrame, others: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
+    """Inner join on ``key``, which may repeat on both sides, where ``rows`` may hold very many rows of a key.
+
+    Rows of a hot key are spread over ``salts`` parts by the hash of their
+    column ``spread_by``, and only for hot keys are the others copied to every
+    part. All other keys meet in one.
+    """
+    hot, _ = hot_keys(rows.where(F.col(key).isNotNull()), key, hot_rows)
+    if hot is None:
+        return rows.join(others, key)
+    few = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    left = rows.join(few, key, "left").withColumn("__part", part).drop("__hot")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = others.join(few, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [key, "__part"]).drop("__part")

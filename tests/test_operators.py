@@ -10,7 +10,7 @@ from sievework.operators import extraction as X
 from sievework.operators import fusion, lexical, logic, neardup, registry
 from sievework.operators.graph import min_label
 from sievework.operators.scratch import Scratch
-from sievework.operators.skew import lookup_join
+from sievework.operators.skew import lookup_join, salted_join
 from sievework.sources import xmlrecords
 from sievework.streaming import upserts
 
@@ -24,6 +24,14 @@ def test_lookup_join_equals_join(spark, how, hot):
     assert sorted(map(str, lookup_join(rows, look, "k", how, hot).select("k", "i", "v").collect())) == want
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_salted_join_equals_join(spark, hot):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 6 + ["b"] * 3 + ["c", None, None, None, None])], "k string, i int")
+    others = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("z", 3), (None, 4)], "k string, v int")
+    want = sorted(map(str, rows.join(others, "k").select("k", "i", "v").collect()))
+    assert sorted(map(str, salted_join(rows, others, "k", "i", hot, salts=4).select("k", "i", "v").collect())) == want
+
+
 def test_scratch_writes_below_the_shared_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("sievework.operators.scratch.checkpoint_dir", lambda s: f"file://{tmp_path}")
     scratch = Scratch(spark)
