@@ -144,6 +144,91 @@ def test_sections_tile_and_criteria_nest():
     assert all(text[c[3] : c[4]] == c[5] for c in got) and X.criteria("") == [] and X.sections("") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("weight about 70 kg", ("measurement", "weight", None, 70.0, "kg", "approx")),
+        ("HbA1c ~7 %", ("measurement", "hba1c", None, 7.0, "%", "approx")),
+        ("platelet count approximately 150 /mm³", ("measurement", "platelets", None, 150.0, "/mm3", "approx")),
+        ("BP 120/80 mmHg", ("measurement", "systolic_blood_pressure", None, 120.0, "mmHg", "eq")),
+        ("BP: 120/80 mmHg", ("measurement", "diastolic_blood_pressure", None, 80.0, "mmHg", "eq")),
+        ("blood pressure 140/90", ("issue", "unsupported_measurement", None, 140.0, None, "eq")),
+        ("height -3 cm", ("issue", "unsupported_measurement", None, -3.0, "cm", "eq")),
+        ("67F with asthma", ("age", "age", None, 67.0, "year", "eq")),
+        ("67F with asthma", ("sex", "sex", "Female", None, None, "eq")),
+        ("199M with asthma", ("issue", "invalid_age", None, 199.0, "year", "eq")),
+        ("The patient is 45-50-year-old.", ("issue", "invalid_age", None, 50.0, "year", "eq")),
+        ("Nothing of note.", ("issue", "unparsed_clause", None, None, None, None)),
+        ("Sex unknown.", ("issue", "sex_requires_review", None, None, None, None)),
+        ("A 40-year-old woman. Sex: male.", ("issue", "conflicting_sex", None, None, None, None)),
+    ],
+)
+def test_facts_of_every_form(text, want):
+    assert want in {tuple(f)[:6] for f in X.facts(text)}
+
+
+@pytest.mark.parametrize(
+    ("text", "when", "sure"),
+    [
+        ("A 70-year-old man has asthma.", "current", "asserted"), ("His 70-year-old father has asthma.", "unknown", "asserted"),
+        ("The patient was a 70-year-old man at diagnosis.", "historical", "asserted"), ("The patient may be 70-year-old.", "unknown", "asserted"),
+        ("Asthma. The patient is a 70-year-old man.", "current", "asserted"), ("Aged: 70 year old", "current", "asserted"),
+        ("The patient is about 70 years old.", "unknown", "uncertain"),
+    ],
+)
+def test_ages_are_current_only_in_the_opening_or_after_a_label(text, when, sure):
+    assert [(f[10], f[11]) for f in X.facts(text) if f[0] == "age"] == [(when, sure)]
+
+
+def test_missing_kinds_and_blank_texts():
+    assert X.missing_kinds("A 40-year-old woman has asthma.") == [("medication",), ("treatment",), ("measurement",)]
+    assert X.facts("") == X.facts("  \n ") == [] and X.clauses(" . ") == [] and len(X.missing_kinds("")) == 6
+
+
+def test_criteria_are_cut_at_safe_semicolons_and_reviewed():
+    text = "Inclusion criteria:\n- Age 18 to 65 years; BMI < 30 kg/m2\n- Heart failure (stable; treated); sex female\n- No cancer unless cured; age any\n- Hb 9 units\n  - either:\nNone."
+    got = X.criteria(text)
+    assert [c.wording for c in got] == [
+        "Age 18 to 65 years", "BMI < 30 kg/m2", "Heart failure (stable; treated)", "sex female", "No cancer unless cured; age any", "Hb 9 units", "either:\nNone.",
+    ]
+    by = {c.wording: c for c in got}
+    assert by["No cancer unless cured; age any"].negations == 1 and by["No cancer unless cured; age any"].types == "age,condition"
+    assert by["No cancer unless cured; age any"].reasons == "conditional_or_exception,unsplit_semicolon"
+    assert by["Hb 9 units"].reasons == "unsupported_numeric_expression:hemoglobin" and by["BMI < 30 kg/m2"].limits == 1
+    assert by["either:\nNone."].parent == by["Hb 9 units"].ordinal and by["Age 18 to 65 years"].reasons == ""
+    assert len({c.criterion_id for c in got}) == len(got) and all(text[c.start_at : c.end_at] == c.wording for c in got)
+    assert X.document_issues("x") == [("no_recognized_section_headers",)] and X.document_issues("") == [("empty_eligibility_text",), ("no_recognized_section_headers",)]
+    assert X.document_issues("Inclusion criteria: a\nInclusion criteria: b") == [("repeated_inclusion_sections",)]
+    assert [c[3] for c in X.negation_cues("Inclusion criteria: no cancer, never smoked")] == ["no", "never"]
+
+
+@pytest.mark.parametrize("unit", ["years", "months", "weeks", "days"])
+def test_limits_of_every_age_unit(unit):
+    assert [c[:5] for c in X.numeric_limits(f"aged >= 2 {unit}")] == [("age", "ge", 2.0, None, unit[:-1])]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Hb of at least 9 g/L", ("hemoglobin", "ge", 9.0, None, "g/L")), ("HbA1c 48 – 53 mmol/mol", ("hba1c", "range", 48.0, 53.0, "mmol/mol")),
+        ("creatinine less than 1.5 mg/dL", ("creatinine", "lt", 1.5, None, "mg/dL")), ("creatinine: <= 90 μmol/L", ("creatinine", "le", 90.0, None, "umol/L")),
+        ("body mass index = 20 kg/m²", ("bmi", "eq", 20.0, None, "kg/m2")), ("platelets must be more than 100 /mm³", ("platelets", "gt", 100.0, None, "/mm3")),
+    ],
+)
+def test_limits_of_every_unit(text, want):
+    assert [c[:5] for c in X.numeric_limits(text)] == [want]
+
+
+def test_review_picks_cycle_through_grades(spark):
+    from sievework.plans.extraction_queries import pick_for_review
+
+    rows = [(0, "c1", "t1"), (0, "c1", "t2"), (1, "c1", "t1"), (1, "c2", "t2"), (1, "c2", "t3"), (2, "c1", "t1"), (0, "c9", "t9")]
+    frame = spark.createDataFrame(rows, "grade int, case_id string, trial_id string")
+    got = [tuple(r) for r in pick_for_review(frame, ["case_id", "trial_id"]).orderBy("place").collect()]
+    assert got == [(1, 0, "c1", "t1"), (2, 1, "c2", "t2"), (3, 0, "c9", "t9"), (4, 1, "c2", "t3")]
+    assert pick_for_review(frame.limit(0), ["case_id", "trial_id"]).count() == 0
+
+
 def test_numeric_limits():
     text = "Age 18 to 65 years; hemoglobin at least 9 g/dL, BMI between 30 and 20 kg/m2, HbA1c <= 7.5 %"
     assert [c[:5] for c in X.numeric_limits(text)] == [
