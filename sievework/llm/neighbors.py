@@ -332,7 +332,7 @@ def neighbors(
             reps = scratch.save(reps.join(spare.withColumnRenamed("key", "rep"), "rep", "left_anti"))
     count = reps.count()
     cosine = similarity_of_neighbors(reps, dimension, k)
-    same = min(agreement(cosine), 1 - 1e-6) if cosine is not None else 0.5
+    same = min(max(agreement(cosine), 0.01), 1 - 1e-6) if cosine is not None else 0.5
     bits, roots = roots_for(count, same, cell)
     keyed = cells(hashed(reps, dimension, roots), bits, scratch, cell)
 
