@@ -7,12 +7,17 @@ value in place of a list, a module given as JSON text, an object with unknown
 fields, null, and damaged text. Accepted trees come out in the columns' own
 types, so that parsed and raw records go the same way from there.
 
-``shred`` then walks the typed columns once, in the JVM: every non-null list
-element becomes a node with the keys common to all kinds (``record_id``,
-``pointer``, ``parent_pointer``, ``position``) and its variant, the state of
-its own shape (which optional fields it has, and whether inner lists are empty
-or filled). ``subtype`` routes the nodes of a kind to a table of its own typed
-columns, keyed by the same pointers.
+A bottom-up tree automaton then classifies every element by its shape: the
+state of a value follows from its kind and the states of its parts alone (a
+scalar is absent or there, a list absent, empty or filled, an object absent or in
+a state of its own), so a kind has a fixed number of states, which ``catalogue``
+lists. ``shred`` runs it over the typed columns once, in the JVM: every non-null
+list element becomes a node with the keys common to all kinds (``record_id``,
+``pointer``, ``parent_pointer``, ``position``), its state, and its own scalar
+fields. ``route`` sends each node by kind and state to the typed table of that
+variant, a partition of its own; hot variants are split over files. What holds
+for all variants reads the common keys of all tables, and a kind's table is the
+union of those of its variants.
 
 Edge cases: null and empty lists give no rows; null elements give none but
 count as positions; unknown fields are ignored; text that isn't valid JSON
@@ -29,7 +34,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .scratch import Scratch
 
 TEXT, NUMBER = "text", "number"
 #: Node kinds: fields of an object as (column name, JSON name, kind of its value); a kind in a list is a list of it.
@@ -147,87 +153,146 @@ def typed_records(records: DataFrame, key: str = "record_id", raw: str = "raw_re
     return parsed.unionByName(read_raw(records.where(F.col(raw).isNotNull()), key, raw))
 
 
-NODE = "struct<kind:string,pointer:string,parent_pointer:string,position:int,variant:string>"
+#: List columns at any depth: name, and kind of an element.
+KINDS: dict[str, str] = {column: kind for column, _, _, kind in FIELDS} | {
+    column: inner[0] for fields in GRAMMAR.values() for column, _, inner in fields if isinstance(inner, list)
+}
+#: Scalar fields of all kinds of elements; ``value`` is that of an element that is text itself.
+SCALARS = {"value": TEXT} | {column: inner for fields in GRAMMAR.values() for column, _, inner in fields if inner in (TEXT, NUMBER)}
+KEYS = ["pointer", "parent_pointer", "position"]
+NODE_COLUMNS = "kind string, state int, pointer string, parent_pointer string, position int, " + ", ".join(f"{c} {_ddl(k)}" for c, k in SCALARS.items())
+NODE = "struct<" + NODE_COLUMNS.replace(", ", ",").replace(" ", ":") + ">"
+
+
+def states(kind) -> list[str]:
+    """The shapes of a kind of value, by state; what is absent has none."""
+    if isinstance(kind, list):
+        return ["[]", "[+]"]
+    if kind in (TEXT, NUMBER):
+        return [""]
+    shapes: list[list[str]] = [[]]
+    for column, _, inner in GRAMMAR[kind]:
+        shapes = [s + part for part in [[], *([column + x] for x in states(inner))] for s in shapes]
+    return ["{" + ",".join(s) + "}" for s in shapes]
 
 
-def _variant(value: Column, kind: T.DataType) -> Column:
-    """The state of an element's shape, from the states of its parts upward."""
-    if isinstance(kind, T.StructType):
-        parts = []
-        for field in kind:
-            part = value[field.name]
-            parts.append(F.when(part.isNotNull(), F.concat(F.lit(field.name), _variant(part, field.dataType))))
-        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    if isinstance(kind, T.ArrayType):
-        return F.when(F.size(value) == 0, F.lit("[]")).otherwise(F.lit("[+]"))
-    return F.lit("")
+def _state(value: Column, kind) -> Column:
+    """The transition of the automaton: the state of a value that is there, from those of its parts."""
+    if isinstance(kind, list):
+        return F.when(F.size(value) == 0, 0).otherwise(1)
+    if kind in (TEXT, NUMBER):
+        return F.lit(0)
+    total, weight = F.lit(0), 1
+    for column, _, inner in GRAMMAR[kind]:
+        part = value[column]
+        total = total + weight * F.when(part.isNull(), 0).otherwise(1 + _state(part, inner))
+        weight *= 1 + len(states(inner))
+    return total
+
+
+def catalogue() -> list[tuple[str, int, str]]:
+    """``(kind, state, variant)`` of every state of every kind of list element."""
+    return [(name, i, shape) for name, kind in KINDS.items() for i, shape in enumerate(states(kind))]
+
+
+def _scalars(value: Column, kind) -> dict[str, Column]:
+    """An element's own scalar fields, those of objects in it included."""
+    if kind == TEXT:
+        return {"value": value}
+    out: dict[str, Column] = {}
+    for column, _, inner in GRAMMAR[kind]:
+        if inner in (TEXT, NUMBER):
+            out[column] = value[column]
+        elif not isinstance(inner, list):
+            out |= _scalars(value[column], inner)
+    return out
+
 
+def scalar_names(name: str) -> list[str]:
+    """The typed columns of a kind of list element."""
+    return list(_scalars(F.lit(None), KINDS[name])) if KINDS[name] == TEXT else [c for c in SCALARS if c in _names_below(KINDS[name])]
 
-def _nodes(value: Column, kind: T.ArrayType, name: str, base: Column) -> Column:
+
+def _names_below(kind: str) -> set[str]:
+    out: set[str] = set()
+    for column, _, inner in GRAMMAR[kind]:
+        if inner in (TEXT, NUMBER):
+            out.add(column)
+        elif not isinstance(inner, list):
+            out |= _names_below(inner)
+    return out
+
+
+def _nodes(value: Column, name: str, base: Column) -> Column:
     """All nodes below a list, the list's own elements included."""
+    kind = KINDS[name]
     nothing = F.array().cast(f"array<{NODE}>")
 
     def element(x: Column, i: Column) -> Column:
         pointer = F.concat(base, F.lit(f"/{name}/"), i.cast("string"))
-        own = F.struct(
-            F.lit(name).alias("kind"), pointer.alias("pointer"), base.alias("parent_pointer"),
-            i.cast("int").alias("position"), _variant(x, kind.elementType).alias("variant"),
+        own = _scalars(x, kind)
+        node = F.struct(
+            F.lit(name).alias("kind"), _state(x, kind).cast("int").alias("state"), pointer.alias("pointer"), base.alias("parent_pointer"),
+            i.cast("int").alias("position"), *((own[c] if c in own else F.lit(None)).cast(_ddl(k)).alias(c) for c, k in SCALARS.items()),
         )
-        return F.when(x.isNull(), nothing).otherwise(F.concat(F.array(own), *_inner(x, kind.elementType, pointer)))
+        return F.when(x.isNull(), nothing).otherwise(F.concat(F.array(node), *_inner(x, kind, pointer)))
 
     return F.coalesce(F.flatten(F.transform(value, element)), nothing)
 
 
-def _inner(value: Column, kind: T.DataType, base: Column) -> list[Column]:
-    if not isinstance(kind, T.StructType):
+def _inner(value: Column, kind, base: Column) -> list[Column]:
+    if kind == TEXT:
         return []
     out = []
-    for field in kind:
-        if isinstance(field.dataType, T.ArrayType):
-            out.append(_nodes(value[field.name], field.dataType, field.name, base))
-        elif isinstance(field.dataType, T.StructType):
-            out += _inner(value[field.name], field.dataType, F.concat(base, F.lit(f"/{field.name}")))
+    for column, _, inner in GRAMMAR[kind]:
+        if isinstance(inner, list):
+            out.append(_nodes(value[column], column, base))
+        elif inner not in (TEXT, NUMBER):
+            out += _inner(value[column], inner, F.concat(base, F.lit(f"/{column}")))
     return out
 
 
 def shred(records: DataFrame, key: str, lists: list[str]) -> DataFrame:
-    """``(key, kind, pointer, parent_pointer, position, variant)`` of every non-null element at any depth.
+    """The key and ``NODE_COLUMNS`` of every non-null element at any depth of typed records.
 
     One pass and no shuffle; a record's nodes are made in its own row.
     """
-    parts = [_nodes(F.col(c), records.schema[c].dataType, c, F.lit("")) for c in lists]
-    return records.select(key, F.inline(F.concat(*parts)))
+    return records.select(key, F.inline(F.concat(*(_nodes(F.col(c), c, F.lit("")) for c in lists))))
+
+
+class VariantTables:
+    """Nodes routed by state: one typed table per kind and variant, in a stored form read any number of times."""
 
+    def __init__(self, stored: DataFrame, key: str):
+        self.stored, self.key = stored, key
 
-def subtype(records: DataFrame, key: str, path: list[str]) -> DataFrame:
-    """The typed table of the elements at a path of list columns, such as ``["locations", "contacts"]``.
+    def keys(self) -> DataFrame:
+        """The common keys of the elements of all tables."""
+        return self.stored.select(self.key, *KEYS)
 
-    Columns: the key, ``pointer``, ``parent_pointer``, ``position``,
-    ``variant``, and the element's own scalar fields (structs flattened,
-    inner lists left to their own tables), or ``value``.
+    def table(self, name: str, state: int | None = None) -> DataFrame:
+        """The typed table of a kind of list, of all its variants or of one; only its own partitions are read."""
+        own = self.stored.where(F.col("kind") == name)
+        if state is not None:
+            own = own.where(F.col("state") == state)
+        return named_variants(own).select(self.key, *KEYS, "variant", *scalar_names(name))
+
+    def variants(self) -> DataFrame:
+        """``(kind, variant, elements)``: how often each shape occurs."""
+        return named_variants(self.stored.groupBy("kind", "state").agg(F.count(F.lit(1)).alias("elements"))).select("kind", "variant", "elements")
+
+
+def named_variants(nodes: DataFrame) -> DataFrame:
+    """Nodes with their ``variant``; the table of names has as many rows as the grammar has states."""
+    names = nodes.sparkSession.createDataFrame(catalogue(), "kind string, state int, variant string")
+    return nodes.join(F.broadcast(names), ["kind", "state"])
+
+
+def route(records: DataFrame, key: str, lists: list[str], scratch: Scratch) -> VariantTables:
+    """Shred once and store each node in the table of its kind and state.
+
+    Rows are gathered by kind and state before they are written, so a table has
+    few files; adaptive execution splits a variant that holds very many.
     """
-    frame, base, kind = records.select(key, F.col(path[0]).alias("__list")), F.lit(""), records.schema[path[0]].dataType
-    for depth, name in enumerate(path):
-        if depth:
-            kind = kind.elementType[name].dataType
-            frame = frame.select(key, F.col("pointer").alias("__base"), F.col("__x")[name].alias("__list"))
-            base = F.col("__base")
-        frame = frame.select(key, base.alias("parent_pointer"), F.posexplode("__list").alias("position", "__x"))
-        frame = frame.where(F.col("__x").isNotNull()).withColumn(
-            "pointer", F.concat("parent_pointer", F.lit(f"/{name}/"), F.col("position").cast("string"))
-        )
-    element, x = kind.elementType, F.col("__x")
-    fields = [x.alias("value")]
-    if isinstance(element, T.StructType):
-        fields = []
-        for f in element:
-            if isinstance(f.dataType, T.StructType):
-                fields += [x[f.name][g.name].alias(g.name) for g in f.dataType]
-            elif not isinstance(f.dataType, T.ArrayType):
-                fields.append(x[f.name].alias(f.name))
-    return frame.select(key, "pointer", "parent_pointer", "position", _variant(x, element).alias("variant"), *fields)
-
-
-def variants(records: DataFrame, key: str, lists: list[str]) -> DataFrame:
-    """``(kind, variant, elements)``: how often each shape occurs."""
-    return shred(records, key, lists).groupBy("kind", "variant").agg(F.count(F.lit(1)).alias("elements"))
+    nodes = shred(records, key, lists).hint("rebalance", "kind", "state")
+    return VariantTables(scratch.save(nodes, partition_by=["kind", "state"]), key)

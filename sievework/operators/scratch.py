@@ -52,11 +52,11 @@ class Scratch:
         except Exception:  # the JVM may be gone already
             pass
 
-    def save(self, frame: DataFrame) -> DataFrame:
+    def save(self, frame: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count}"
         schema = frame.schema
-        frame.write.parquet(path)
+        frame.write.parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path

@@ -1,6 +1,7 @@
 import json
 
 from sievework.operators import nested
+from sievework.operators.scratch import Scratch
 
 SCHEMA = (
     "record_id long, raw_record string, phases array<string>, conditions array<string>, "
@@ -63,17 +64,30 @@ def test_unpaired_surrogates_and_very_long_lists(spark):
     assert len(got) == 2 + 2000 * (1 + 4 + 12)
 
 
-def test_subtypes_agree_with_nodes_and_variants(spark):
+def test_variant_tables_agree_with_nodes_and_variants(spark):
     rows = [row(1, None, ["P"], None, [("t", None, "d", [], ["x"])], [("F", None, None, None, (1.0, 2.0), [("r", "1", [])])]), row(2, raw(conditionsModule={"conditions": "c"}))]
     frame = nested.typed_records(spark.createDataFrame(rows, SCHEMA))
-    nodes = {(x["record_id"], x["pointer"], x["parent_pointer"], x["variant"]) for x in nested.shred(frame, "record_id", [f[0] for f in nested.FIELDS]).collect()}
-    paths = [["phases"], ["conditions"], ["interventions"], ["interventions", "other_names"], ["locations"], ["locations", "contacts"], ["locations", "contacts", "languages"]]
-    typed = set()
-    for path in paths:
-        typed |= {(x["record_id"], x["pointer"], x["parent_pointer"], x["variant"]) for x in nested.subtype(frame, "record_id", path).collect()}
-    assert typed == nodes
+    lists = [f[0] for f in nested.FIELDS]
+    nodes = {(x["record_id"], x["pointer"], x["parent_pointer"], x["variant"]) for x in nested.named_variants(nested.shred(frame, "record_id", lists)).collect()}
+    tables = nested.route(frame, "record_id", lists, Scratch(spark))
+    typed, single = set(), set()
+    for name in nested.KINDS:
+        typed |= {(x["record_id"], x["pointer"], x["parent_pointer"], x["variant"]) for x in tables.table(name).collect()}
+    for name, state, variant in [(n, s, v) for n, s, v in nested.catalogue() if (n, v) in {("interventions", "{intervention_type,description,arm_group_labels[],other_names[+]}"), ("phases", "")}]:
+        found = tables.table(name, state).collect()
+        assert len(found) == 1 and found[0]["variant"] == variant
+        single |= {(x["record_id"], x["pointer"]) for x in found}
+    assert typed == nodes and single == {(1, "/interventions/0"), (1, "/phases/0")}
+    assert {(x["record_id"], x["pointer"], x["parent_pointer"]) for x in tables.keys().collect()} == {n[:3] for n in nodes}
     assert {v for *_, v in nodes} >= {"{intervention_type,description,arm_group_labels[],other_names[+]}", "{facility,geo_point{lat,lon},contacts[+]}"}
-    assert nested.subtype(frame, "record_id", ["locations"]).columns[-2:] == ["lat", "lon"]
+    assert tables.table("locations").columns[-2:] == ["lat", "lon"] and tables.table("languages").columns[-1] == "value"
+    assert {(x["kind"], x["variant"], x["elements"]) for x in tables.variants().collect()} >= {("conditions", "", 1), ("contacts", "{contact_role,extension,languages[]}", 1)}
+
+
+def test_states_are_those_of_the_grammar():
+    assert [len(nested.states(k)) for k in ("intervention", "contact", "geo_point", "location")] == [72, 12, 4, 240]
+    names = [(n, v) for n, _, v in nested.catalogue()]
+    assert len(names) == len(set(names)) and nested.states("geo_point") == ["{}", "{lat}", "{lon}", "{lat,lon}"]
 
 
 def test_empty_table(spark):
