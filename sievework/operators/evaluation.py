@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .skew import lookup_join
+
 METRICS = (
     "ndcg_at_5", "ndcg_at_10", "mrr", "precision_at_10", "recall_at_100", "success_at_5", "eligible_recall_at_100", "excluded_recall_at_100",
 )
@@ -86,26 +88,44 @@ def extremes(frame: DataFrame, value: str, key: str, n: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def paired_bootstrap(delta: DataFrame, query: str, seed: int = 0, repeats: int = 10_000, most: int = 1_000_000) -> DataFrame:
+BOOTSTRAP_PART, DRAWS = 100_000, 2_000_000
+
+
+def paired_bootstrap(delta: DataFrame, query: str, seed: int = 0, repeats: int = 10_000, part: int = BOOTSTRAP_PART) -> DataFrame:
     """Percentile interval of the mean difference over resampled queries.
 
-    Differences of at most ``most`` queries are taken in the order of their
-    ids, by one task; more are refused rather than cut.
+    Queries are cut into parts of about ``part`` by hash. Of each resample a
+    multinomial draw says how many come from which part (every task makes the
+    same draws), and a part draws its own, in the order of ids. So the resamples
+    are those of all queries at any number of them, and no task holds more than
+    a part. An empty table gives no row.
     """
     import numpy as np
     import pandas as pd
 
-    if delta.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries")
-
-    def resample(part: pd.DataFrame) -> pd.DataFrame:
-        d = part.sort_values(query)["delta"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([d[rng.integers(0, len(d), size=(min(100, repeats - i), len(d)))].mean(1) for i in range(0, repeats, 100)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"topics": [len(d)], "mean_delta": [d.mean()], "low": [low], "high": [high]})
-
-    return delta.groupBy(F.lit(1).alias("all")).applyInPandas(resample, "topics long, mean_delta double, low double, high double")
+    parts = max(1, -(-delta.count() // part))
+    keyed = delta.select(query, "delta", F.pmod(F.xxhash64(query), F.lit(parts)).cast("int").alias("part"))
+    # One row per part, that is, per ``part`` queries.
+    held = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = np.array([held.get(p, 0) for p in range(parts)])
+    total = int(sizes.sum())
+
+    def resample(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows.sort_values(query)["delta"].to_numpy()
+        own = int(rows["part"].iloc[0])
+        shares = np.random.default_rng([seed, 0])
+        rng = np.random.default_rng([seed, 1, own])
+        sums = np.empty(repeats)
+        for i in range(0, repeats, 100):
+            drawn = shares.multinomial(total, sizes / total, size=min(100, repeats - i))[:, own]
+            for k, m in enumerate(drawn):
+                sums[i + k] = sum(float(d[rng.integers(0, len(d), min(DRAWS, m - at))].sum()) for at in range(0, m, DRAWS))
+        return pd.DataFrame({"draw": np.arange(repeats), "s": sums})
+
+    means = keyed.groupBy("part").applyInPandas(resample, "draw int, s double").groupBy("draw").agg((F.sum("s") / F.lit(float(max(1, total)))).alias("m"))
+    bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    whole = delta.agg(F.count(F.lit(1)).alias("topics"), F.avg("delta").alias("mean_delta")).where("topics > 0")
+    return whole.crossJoin(bounds).select("topics", "mean_delta", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def wilson_lower(correct: Column, total: Column, z: float = 1.96) -> Column:
@@ -135,10 +155,48 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(F.sum("n").alias("n"), F.round(gap, 5).alias("ece"))
 
 
+#: Ranks on either side of a wanted one that the sketch may be wrong by, as a share of all.
+SKETCH_ERROR = 2e-4
+
+
+def quantiles(frame: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """``(by, n, least, p)``: exact quantiles of each group, interpolated between the two values around the rank.
+
+    A mergeable sketch brackets each quantile; then the rows below the bracket
+    are counted, and only the values inside it, at most a few in ten thousand of
+    the group's rows, are ordered. Null values don't count; a group without
+    values has null quantiles.
+    """
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    rows = frame.select(F.col(by).alias("__by"), group.alias("__k"), F.col(value).cast("double").alias("__v"))
+    sides = [min(1.0, max(0.0, s + e)) for s in shares for e in (-SKETCH_ERROR, SKETCH_ERROR)]
+    known = rows.groupBy("__k", "__by").agg(
+        F.count("__v").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.percentile_approx("__v", sides, int(2 / SKETCH_ERROR)).alias("b")
+    )
+    # In a small group a bracket would be narrower than the two values to interpolate between: there it takes all.
+    few = F.col("n") <= int(2 / SKETCH_ERROR)
+    low, high = (lambda i: F.when(few, F.col("least")).otherwise(F.col("b")[2 * i])), (lambda i: F.when(few, F.col("most")).otherwise(F.col("b")[2 * i + 1]))
+    brackets = F.array(*(
+        F.struct(F.lit(i).alias("i"), low(i).alias("low"), high(i).alias("high"), (F.lit(s) * (F.col("n") - 1)).alias("rank"))
+        for i, s in enumerate(shares)
+    ))
+    met = lookup_join(rows.where("__v is not null").select("__k", "__v"), known.select("__k", brackets.alias("x")), "__k")
+    each = met.select("__k", "__v", F.explode("x").alias("x")).where(F.col("__v") <= F.col("x.high"))
+    # What lies below a bracket becomes one row; equal values inside it become one row.
+    at = F.when(F.col("__v") >= F.col("x.low"), F.col("__v"))
+    counted = each.groupBy("__k", F.col("x.i").alias("i"), F.col("x.rank").alias("rank"), at.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ordered = Window.partitionBy("__k", "i").orderBy(F.asc_nulls_first("v"))
+    placed = counted.withColumn("last", F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    at_rank = lambda r: F.max(F.when(r.between(F.col("first"), F.col("last")), F.col("v")))
+    found = placed.groupBy("__k", "i", "rank").agg(at_rank(F.floor("rank")).alias("a"), at_rank(F.ceil("rank")).alias("z"))
+    between = F.col("a") + (F.col("z") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    picked = found.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("q")))), lambda s: s["q"]).alias("p"))
+    return known.join(picked, "__k", "left").select(F.col("__by").alias(by), "n", "least", "p")
+
+
 def latency_summary(frame: DataFrame, by: str, value: str) -> DataFrame:
     """Count, least, exact median and 95th percentile (interpolated)."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return frame.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("least"), p.alias("p")).select(
+    return quantiles(frame, by, value, [0.5, 0.95]).select(
         by, "n", "least", F.round(F.col("p")[0], 6).alias("median"), F.round(F.col("p")[1], 6).alias("p95")
     )
 

@@ -44,11 +44,13 @@ def regressions(captures: DataFrame, key: str, order: list[str], date: str) -> D
 def windows(days: DataFrame, day: str, overlap: int = 1) -> DataFrame:
     """Watermarks of daily windows: each ends at its day, the next starts ``overlap`` days before; ``chained`` if it joins the one before."""
     until = F.to_date(day)
-    w = Window.orderBy("until")
     found = days.groupBy(until.alias("until")).agg(F.count(F.lit(1)).alias("records"), F.max(day).alias("latest"))
-    return found.select(
-        "until", "records", F.date_sub("until", overlap).alias("next_start"),
-        F.coalesce(F.datediff("until", F.lag("until").over(w)) <= overlap, F.lit(True)).alias("chained"),
+    # A window is joined where one of the days before that it reaches has records too: found by the day, not by an order of all.
+    reached = found.select(F.explode(F.sequence(F.lit(1), F.lit(max(1, overlap)))).alias("d"), F.col("until").alias("__before"))
+    reached = reached.select(F.date_add("__before", F.col("d")).alias("until"), F.lit(True).alias("met")).distinct()
+    start = found.agg(F.min("until").alias("start"))
+    return found.join(reached, "until", "left").crossJoin(F.broadcast(start)).select(
+        "until", "records", F.date_sub("until", overlap).alias("next_start"), F.coalesce("met", F.col("until") == F.col("start")).alias("chained")
     )
 
 

@@ -14,12 +14,14 @@ _TEST_FOLDERS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, single machine) a folder of
-    this machine takes its place.
+    Only where that setting is absent and all executors are on this machine
+    (tests) a folder of this machine takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _TEST_FOLDERS:
         _TEST_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")

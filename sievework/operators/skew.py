@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
 MOST_HOT_KEYS = 10_000
+#: Rows of so many bytes in all may meet in one task whatever their keys, so nothing is counted first.
+SMALL_BYTES = 32 << 20
+
+
+def estimated_bytes(frame: DataFrame) -> int:
+    """What the optimizer knows of the size of a frame: that of its files for a scan, a bound from above otherwise."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, bool]:
@@ -14,8 +21,11 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataF
 
     The count combines map-side, so a hot key never meets in one task before
     it is reduced to one row per input partition. At most ``MOST_HOT_KEYS``
-    keys come back, the largest, which bounds what is broadcast.
+    keys come back, the largest, which bounds what is broadcast. Rows known to
+    be small are not counted.
     """
+    if hot_rows >= HOT_ROWS and estimated_bytes(rows) <= SMALL_BYTES:
+        return None, False
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     found = counts.where(F.col("__n") >= hot_rows).orderBy(F.desc("__n")).limit(MOST_HOT_KEYS).collect()
     values = [(r[key],) for r in found if r[key] is not None]

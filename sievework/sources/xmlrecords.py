@@ -57,17 +57,18 @@ def extract(records: DataFrame, key: str, xml: str) -> DataFrame:
     )
 
 
-MOST_MEMBER = 16 << 20
+#: Fixed value: bytes that a member of an archive may unpack to.
+MOST_MEMBER = 10 << 20
 _MEMBER = re.compile(r"(?:[\w.-]+/)*NCT\d{8}\.xml\Z")
 
 
-def _member_issue(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str | None, str | None]:
+def _member_issue(archive: zipfile.ZipFile, info: zipfile.ZipInfo, most: int) -> tuple[str | None, str | None]:
     """The record's id, or what is wrong with a member of an archive."""
     if not _MEMBER.match(info.filename) or ".." in info.filename:
         return None, "unsafe_path"
     if info.flag_bits & 1:
         return None, "encrypted"
-    if info.file_size > MOST_MEMBER:
+    if info.file_size > most:
         return None, "too_large"
     try:
         raw = archive.read(info)
@@ -86,7 +87,7 @@ def _member_issue(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str
     return (found, None) if found == wanted else (None, "id_differs_from_name")
 
 
-def scan_archives(files: DataFrame) -> DataFrame:
+def scan_archives(files: DataFrame, most: int = MOST_MEMBER) -> DataFrame:
     """``(archive, member, trial_id, issue)`` of all members of ZIP archives given as ``(path, content)``."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +102,7 @@ def scan_archives(files: DataFrame) -> DataFrame:
                 with archive:
                     for info in archive.infolist():
                         if not info.is_dir():
-                            rows.append((name, info.filename, *_member_issue(archive, info)))
+                            rows.append((name, info.filename, *_member_issue(archive, info, most)))
             yield pd.DataFrame(rows, columns=["archive", "member", "trial_id", "issue"])
 
     return files.select("path", "content").mapInPandas(scan, "archive string, member string, trial_id string, issue string")

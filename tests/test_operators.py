@@ -219,6 +219,89 @@ def test_limits_of_every_unit(text, want):
     assert [c[:5] for c in X.numeric_limits(text)] == [want]
 
 
+@pytest.mark.parametrize("part", [7, 100_000])
+def test_bootstrap_at_any_number_of_parts(spark, part):
+    from sievework.operators import evaluation
+
+    rows = [(f"q{i}", (i % 11 - 4) / 10) for i in range(60)]
+    got = evaluation.paired_bootstrap(spark.createDataFrame(rows, "q string, delta double"), "q", repeats=2000, part=part).collect()
+    mean = sum(d for _, d in rows) / 60
+    spread = (sum((d - mean) ** 2 for _, d in rows) / 60) ** 0.5 / 60**0.5
+    assert len(got) == 1 and got[0]["topics"] == 60 and abs(got[0]["mean_delta"] - mean) < 1e-9
+    assert abs(got[0]["low"] - (mean - 1.96 * spread)) < 0.25 * spread and abs(got[0]["high"] - (mean + 1.96 * spread)) < 0.25 * spread
+    assert evaluation.paired_bootstrap(spark.createDataFrame([], "q string, delta double"), "q").count() == 0
+
+
+def test_exact_quantiles_of_ties_nulls_and_many_values(spark):
+    import numpy as np
+    from sievework.operators import evaluation
+
+    g = np.random.default_rng(0)
+    rows = [("many", float(x)) for x in g.integers(0, 5000, 20_000)] + [("tied", 3.0)] * 50 + [("one", 7.0), ("none", None), (None, 1.0), (None, 2.0), ("two", 1.0), ("two", 2.0), ("two", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["n"], r["least"], r["p"]) for r in evaluation.quantiles(frame, "k", "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for k in ("many", "tied", "one", "two", None):
+        v = [x for n, x in rows if n == k and x is not None]
+        assert got[k][0] == len(v) and got[k][1] == min(v) and np.allclose(got[k][2], np.quantile(v, [0, 0.5, 0.95, 1]))
+    assert got["none"] == (0, None, None)
+
+
+def test_versions_are_published_whole_and_outlive_the_session(spark, tmp_path):
+    from sievework.operators.store import Conflict, VersionedTable
+
+    store = lambda: VersionedTable(spark, f"file://{tmp_path}/t", "k string, v int", "k", compact_after=3)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    assert store().latest() is None
+    for i in range(5):
+        assert store().publish(frame(("a", i), (f"b{i}", i))) == i
+    assert {tuple(r) for r in store().latest().collect()} == {("a", 4), *((f"b{i}", i) for i in range(5))}
+    assert store().read(3).count() == 5 and store().read(4).count() == 2  # the fourth version holds all rows
+    assert {tuple(r) for r in store().latest(1).collect()} == {("a", 1), ("b0", 0), ("b1", 1)}
+    with pytest.raises(Conflict):
+        store().publish(frame(("z", 1)), 4)
+    assert store().versions() == [0, 1, 2, 3, 4] and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".staged")]
+
+
+def test_registry_goes_on_in_a_new_session_and_refuses_duplicates(spark, tmp_path):
+    from sievework.operators.store import VersionedTable
+
+    def stream(folder="r", unique=True):
+        store = VersionedTable(spark, f"file://{tmp_path}/{folder}", "k string, d int, v string, content_sha256 string", "k")
+        return upserts.RegistryStream(Scratch(spark), "k", ["d"], F.col("v"), unique=unique, store=store)
+
+    batch = lambda rows: spark.createDataFrame(rows, "k string, d int, v string")
+    stream()(batch([("a", 1, "x"), ("b", 1, "y")]), 0)
+    later = stream()
+    later(batch([("a", 2, "x"), ("c", 2, "n")]), 1)
+    assert {(x["k"], x["state"]) for x in later.states[1].collect()} == {("a", "unchanged"), ("c", "added")}
+    with pytest.raises(upserts.Duplicate):
+        stream()(batch([("d", 3, "x"), ("d", 4, "x")]), 2)
+    with pytest.raises(upserts.Regression):
+        stream()(batch([("a", 1, "x")]), 2)
+    stream()(batch([("a", 9, "again")]), 1)  # that batch is there already
+    assert {(x["k"], x["d"]) for x in stream().store.latest().collect()} == {("a", 2), ("b", 1), ("c", 2)}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from sievework.operators import scratch as module
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        module.checkpoint_dir(Session())
+
+
 def test_review_picks_cycle_through_grades(spark):
     from sievework.plans.extraction_queries import pick_for_review
 
