@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Bundle of every pair that names a case or shares one."""
     pairs, matches = table(spark, folder, "hard_negatives"), table(spark, folder, "record_matches")
-    _, split = splits.assign_splits(pairs, matches, Scratch(spark))
+    scratch = Scratch(spark)
+    _, split = splits.assign_splits(pairs, matches, scratch, store=splits.component_store(spark, f"{scratch.root}/components"))
     return splits.bundles(split).select("pair_id", "bundle_id")
 
 
@@ -29,8 +30,9 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     pairs, matches = table(spark, folder, "hard_negatives"), table(spark, folder, "record_matches")
     early = "delivered_at < timestamp'2031-09-01' or delivered_at is null"
-    seen, _ = splits.assign_splits(pairs.where(early), None, scratch)
-    grown, _ = splits.assign_splits(pairs.where(f"not ({early})"), matches, scratch, seen, earlier=pairs.where(early))
+    store = splits.component_store(spark, f"{scratch.root}/components")
+    splits.assign_splits(pairs.where(early), None, scratch, store=store)
+    grown, _ = splits.assign_splits(pairs.where(f"not ({early})"), matches, scratch, earlier=pairs.where(early), store=store)
     return splits.split_pairs(splits.pair_ends(pairs), grown).select("pair_id", "component", "split")
 
 

@@ -1,8 +1,10 @@
 """Problem 2: splits that keep related records together.
 
 A component table ``(node, component, split, stands)`` is kept from batch to
-batch. A batch of new links is first contracted to components already known;
-what then remains is merged by pointer jumping: every component points to its
+batch, as versions in a shared folder that outlive the session (``component_store``);
+a version is published whole or not at all and holds only the rows that changed.
+A batch of new links is first contracted to components already known, of which
+only those it touches are worked on; what then remains is merged by pointer jumping: every component points to its
 smallest neighbour, pointers are doubled until each shows to a root, links are
 redrawn between roots, and so on until no link is left.
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import case_key, trial_key
 from ..operators.scratch import Scratch
 from ..operators.skew import HOT_ROWS, lookup_join
+from ..operators.store import VersionedTable
 from .components import link_edges
 
 PROPORTIONS = {"train": 0.6, "dev": 0.2, "test": 0.2}
@@ -48,7 +51,7 @@ def _relabel(rows: DataFrame, column: str, pointers: DataFrame, hot_rows: int) -
 def merge_by_jumping(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, root)`` of every node of ``(a, b)``; the root is a node of its component."""
     edges = scratch.save(edges.where("a is not null and b is not null").select("a", "b").distinct())
-    known = scratch.save(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    known = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     edges = edges.where("a != b")
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
@@ -73,7 +76,7 @@ def merge_by_jumping(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROW
         redrawn = scratch.save(redrawn.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         scratch.drop(known, edges, pointers)
         known, edges = following, redrawn
-    return known
+    return scratch.save(known) if not hasattr(known, "_scratch_path") else known
 
 
 def pair_ends(pairs: DataFrame) -> DataFrame:
@@ -98,7 +101,19 @@ def batch_edges(ends: DataFrame, matches: DataFrame | None) -> DataFrame:
         for kind, mark in (("case", "c|"), ("trial", "t|")):
             links = link_edges(matches.where(F.lower(F.trim("kind")) == kind))
             edges = edges.union(links.select(F.concat(F.lit(mark), "a").alias("a"), F.concat(F.lit(mark), "b").alias("b")))
-    return edges.distinct()
+    return edges
+
+
+def component_store(spark, path: str) -> VersionedTable:
+    """The component table kept at a path."""
+    return VersionedTable(spark, path, TABLE_SCHEMA, "node")
+
+
+def touched(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of components that a batch of links has a node of."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = table.join(nodes, "node", "left_semi").select("component").distinct()
+    return table.join(met, "component", "left_semi").select("node", "component", "split", "stands")
 
 
 def update_components(
@@ -112,9 +127,9 @@ def update_components(
     that component holds several; and the same with ``quarantine`` for all
     splits of a component but one, that of the largest share.
     """
-    spark = edges.sparkSession
     if table is None:
-        table = spark.createDataFrame([], TABLE_SCHEMA)
+        nodes = merge_by_jumping(edges.select("a", "b"), scratch, hot_rows).select("node", F.col("root").alias("component"), F.lit(None).cast("string").alias("split"))
+        return nodes.withColumn("stands", F.lit(None).cast("string"))
     known = table.select("node", F.col("component").alias("parent"))
     drawn = _relabel(_relabel(edges.select("a", "b"), "a", known, hot_rows), "b", known, hot_rows)
     merged = merge_by_jumping(drawn, scratch, hot_rows)
@@ -142,9 +157,10 @@ def update_components(
     )
 
 
-def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``components`` with every null split filled; ``ends`` are those of all pairs that count for the shares.
+def filling(placed: DataFrame, proportions: dict[str, float]):
+    """How new components are placed: a function that fills null splits of rows with a ``component``.
 
+    ``placed`` are all pairs that count for the shares, ``(component, split)``.
     New components of more than a ``BINS``-th of all pairs (at most ``BINS``)
     are placed one by one, largest first; the others by the bin of their hash.
     Each goes to the split furthest below its share, so the driver handles at
@@ -153,13 +169,17 @@ def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, fl
     if not proportions or any(p <= 0 for p in proportions.values()):
         raise ValueError("proportions must be positive")
     total_share = sum(proportions.values())
-    sized = split_pairs(ends, components, hot_rows).groupBy("component", "split").agg(F.count(F.lit(1)).alias("n"))
+    sized = placed.groupBy("component", "split").agg(F.count(F.lit(1)).alias("n"))
     have = {r["split"]: r["n"] for r in sized.groupBy("split").agg(F.sum("n").alias("n")).collect()}
     total = sum(n for s, n in have.items() if s != QUARANTINE)
-    open_ = sized.where("split is null").select("component", "n", F.pmod(F.xxhash64("component"), F.lit(BINS)).alias("bin"))
+    bin_of = F.pmod(F.xxhash64("component"), F.lit(BINS))
+    open_ = sized.where("split is null").select("component", "n", bin_of.alias("bin"))
     limit = max(1, total // BINS)
-    large = open_.where(F.col("n") > limit).select("component", "n").orderBy(F.desc("n"), "component").collect()
-    bins = open_.where(F.col("n") <= limit).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bin").collect()
+    # Large components by name, all others as one row per bin.
+    name = F.when(F.col("n") > limit, F.col("component"))
+    rows = open_.groupBy(name.alias("component"), F.when(name.isNull(), F.col("bin")).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    large = sorted((r for r in rows if r["component"] is not None), key=lambda r: (-r["n"], r["component"]))
+    bins = sorted((r for r in rows if r["component"] is None), key=lambda r: (-r["n"], r["bin"]))
     filled = {s: have.get(s, 0) for s in proportions}
 
     def place(n: int) -> str:
@@ -167,36 +187,57 @@ def assign_new(components: DataFrame, ends: DataFrame, proportions: dict[str, fl
         filled[best] += n
         return best
 
-    spark = components.sparkSession
+    spark = placed.sparkSession
     of_large = spark.createDataFrame([(r["component"], place(r["n"])) for r in large], "component string, given string")
     of_bin = spark.createDataFrame([(r["bin"], place(r["n"])) for r in bins], "bin long, by_bin string")
     rest = min(proportions, key=lambda s: (-proportions[s], s))
-    new = F.coalesce("given", "by_bin", F.lit(rest))
-    return (
-        components.withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(BINS)))
-        .join(F.broadcast(of_large), "component", "left")
-        .join(F.broadcast(of_bin), "bin", "left")
-        .select("node", "component", F.coalesce("split", new).alias("split"), F.coalesce("stands", new).alias("stands"))
-    )
+
+    def fill(frame: DataFrame, columns: list[str]) -> DataFrame:
+        names = frame.columns
+        new = F.coalesce("given", "by_bin", F.lit(rest))
+        joined = frame.withColumn("bin", bin_of).join(F.broadcast(of_large), "component", "left").join(F.broadcast(of_bin), "bin", "left")
+        return joined.withColumns({c: F.coalesce(c, new) for c in columns}).select(*names)
+
+    return fill
 
 
 def assign_splits(
     pairs: DataFrame, matches: DataFrame | None, scratch: Scratch, table: DataFrame | None = None,
     proportions: dict[str, float] | None = None, hot_rows: int = HOT_ROWS, earlier: DataFrame | None = None,
+    store: VersionedTable | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Split one batch; returns ``(component table, pairs with component and split)``.
 
-    Write the table and pass it with the next batch to go on from there, and
-    the pairs of the batches before as ``earlier``, so that the shares are
-    those of all pairs; a pair delivered in both counts once.
+    The table of earlier batches is that of the ``store``, or ``table`` where there
+    is none. With a store the rows that changed are published as its next
+    version. Pass the pairs of the batches before as ``earlier``, so that the
+    shares are those of all pairs; a pair delivered in both counts once.
     """
+    shares = proportions or PROPORTIONS
+    held = store.latest() if store is not None else table
     ends = scratch.save(pair_ends(pairs))
     columns = ("pair_id", "case_id", "trial_id")
     every = ends if earlier is None else scratch.save(pair_ends(earlier.select(*columns).union(pairs.select(*columns))))
-    shares = proportions or PROPORTIONS
-    grown = scratch.save(update_components(table, batch_edges(ends, matches), scratch, hot_rows, shares))
-    table = scratch.save(assign_new(grown, every, shares, hot_rows))
-    return table, split_pairs(ends, table, hot_rows)
+    edges = batch_edges(ends, matches)
+    if held is not None:
+        edges = scratch.save(edges)
+    part = scratch.save(touched(held, edges)) if held is not None else None
+    grown = scratch.save(update_components(part, edges, scratch, hot_rows, shares)) if part is not None else update_components(None, edges, scratch, hot_rows, shares)
+
+    def with_untouched(rows: DataFrame) -> DataFrame:
+        return rows if held is None else held.join(rows.select("node"), "node", "left_anti").unionByName(rows)
+
+    open_pairs = scratch.save(split_pairs(every, with_untouched(grown), hot_rows))
+    fill = filling(open_pairs.select("component", "split"), shares)
+    filled = fill(grown, ["split", "stands"])
+    if store is None:
+        table = with_untouched(scratch.save(filled))
+        table = table if held is None else scratch.save(table)
+    else:
+        store.publish(filled if part is None else filled.join(part, ["node", "component", "split", "stands"], "left_anti"))
+        table = store.latest()
+    out = fill(open_pairs, ["split"])
+    return table, out if earlier is None else out.join(ends.select("pair_id"), "pair_id", "left_semi")
 
 
 def split_pairs(ends: DataFrame, table: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

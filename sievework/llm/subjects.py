@@ -291,7 +291,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
 def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """``(doc_id, subject)``: the subjects of every document."""
     spark = documents.sparkSession
-    subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().limit(1000).collect())
+    subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect())
     model = fit(*training_sample(documents, labels, most), subjects)
     source = documents.select("doc_id", "text", "source")
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -137,6 +137,23 @@ def test_later_batches_keep_splits_and_quarantine_conflicts(spark):
     assert got[102] in ("train", "dev", "test") and got[103] == old[f"t|T{c}"]
 
 
+def test_three_batches_in_a_store_give_what_one_table_gives(spark, tmp_path):
+    def batch(k):
+        return spark.createDataFrame([(100 * k + i, f"c{i % (7 + k)}-{k if i % 3 else 0}", f"t{i}-{k}") for i in range(40)], "pair_id long, case_id string, trial_id string")
+
+    kept, before = None, None
+    for k in range(3):
+        # A new store object each time, as in a session of its own.
+        store = splits.component_store(spark, f"file://{tmp_path}/components")
+        stored, pairs = splits.assign_splits(batch(k), None, Scratch(spark), earlier=before, store=store)
+        kept, other = splits.assign_splits(batch(k), None, Scratch(spark), kept, earlier=before)
+        before = batch(k) if before is None else before.union(batch(k))
+        assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in kept.select(stored.columns).collect()}
+        assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in other.select(pairs.columns).collect()}
+        assert pairs.count() == 40
+    assert store.versions() == [0, 1, 2] and store.read(2).count() < stored.count()
+
+
 def test_no_bundle_in_two_splits_after_a_conflicting_batch(spark):
     pairs = [(i, f"c{i // 2}", f"T{i}") for i in range(80)]
     first, _ = frames(spark, pairs, [])
