@@ -10,13 +10,18 @@ Training, on a bounded sample of labelled documents:
    their document, and do so with several subjects, are cues of remarks in
    passing (on another condition or on a relative).
 2. *Features of a document.* For each subject the number and share of its
-   on-topic and passing sentences, beside structure (numbers of sentences,
-   paragraphs, list items) and source.
-3. *Chain.* One logistic model per subject, in order of frequency, each also
+   on-topic and passing sentences, how often its ``OWN_TERMS`` weightiest terms
+   occur, structure (numbers of sentences, paragraphs, list items) and source.
+3. *Labels with noise.* What a document is about is hidden: a given label may be
+   wrong and a subject may lack its label. Both rates are estimated per subject,
+   with the chain, by expectation maximisation: the chain gives the probability
+   of a subject from the features, the rates turn it and the given label into the
+   probability that the subject is there, and that is what the chain is fitted to.
+4. *Chain.* One logistic model per subject, in order of frequency, each also
    given the subjects before it, so that co-occurrence is learned; each is
    calibrated by a scale and an offset on a part held out.
-4. *Decoding.* Beam search over the chain for the most probable combination of
-   at most ``MOST_SUBJECTS`` subjects.
+5. *Decoding.* Beam search over the chain for the most probable combination of
+   at most ``MOST_SUBJECTS`` subjects, for a batch of documents at once.
 
 The model is small (its size follows from the sample, not from the corpus) and
 goes to the workers, where every document is read whole, in one pass.
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +53,11 @@ MOST_LABELLED, MOST_CHARS = 6_000, 20_000
 MOST_SUBJECTS, BEAM = 2, 8
 ROUNDS = 8
 LEAST_CUES = 3
-SOURCE_SLOTS = 16
+SOURCE_SLOTS = 32
+OWN_TERMS = 24
+#: Rounds of the noise model (more of them let one label stand for two subjects), and its first guess: how often a
+#: subject beside another lacks its label, how often one has a wrong label, and how surely a sentence shows its subject.
+NOISE_ROUNDS, LACKING, WRONG, SHOWN = 3, 0.5, 0.02, 0.7
 _SENTENCE = re.compile(r"[\n\r  ]+|(?<=[.!?…])\s+")
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s", re.M)
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -66,7 +76,7 @@ def sentence_terms(text: str | None) -> list[list[str]]:
 def structure(text: str, source: str | None) -> np.ndarray:
     """Features that don't depend on words."""
     slot = np.zeros(SOURCE_SLOTS)
-    slot[sum(map(ord, source)) % (SOURCE_SLOTS - 1) if source is not None else SOURCE_SLOTS - 1] = 1
+    slot[zlib.crc32(source.encode("utf-8", "surrogatepass")) % (SOURCE_SLOTS - 1) if source is not None else SOURCE_SLOTS - 1] = 1
     items, paragraphs = len(_ITEM.findall(text)), len(_PARAGRAPH.findall(text)) + 1
     return np.concatenate([[math.log1p(items), math.log1p(paragraphs), math.log1p(len(text)) / 10], slot])
 
@@ -77,12 +87,13 @@ class Model:
     vocabulary: dict[str, int]
     topic: np.ndarray  # terms × subjects, log weights
     cue: np.ndarray  # of each term, the probability that its sentence is in passing; 0 for terms that are no cue
+    own: np.ndarray  # of each term, ``subject * OWN_TERMS + place`` where it is one of its subject's weightiest, else -1
     order: list[int]  # subjects in chain order
     chain: list[np.ndarray]
     scale: list[tuple[float, float]]
 
-    def sentence_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each sentence its text's number and the probabilities (subjects) of on topic and in passing."""
+    def sentence_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each sentence its text's number and the probabilities (subjects) of on topic and in passing; and counts of own terms by text."""
         ids, starts, owner = [], [], []
         get = self.vocabulary.get
         for i, text in enumerate(texts):
@@ -94,18 +105,22 @@ class Model:
                     owner.append(i)
         s = len(self.subjects)
         if not ids:
-            return np.empty(0, int), np.empty((0, s)), np.empty((0, s))
+            return np.empty(0, int), np.empty((0, s)), np.empty((0, s)), np.zeros((len(texts), s, OWN_TERMS))
         ids, starts = np.array(ids), np.array(starts)
         p = _certain(np.add.reduceat(self.topic[ids], starts, axis=0))
         # One cue alone may be a chance word: a remark has several.
         cue = self.cue[ids]
         several = np.add.reduceat((cue > 0).astype(np.int64), starts) >= LEAST_CUES
         q = np.where(several, np.maximum.reduceat(cue, starts), 0)[:, None]
-        return np.array(owner), p * (1 - q), p * q
+        owner = np.array(owner)
+        slot = self.own[ids]
+        text = np.repeat(owner, np.diff(np.append(starts, len(ids))))[slot >= 0]
+        counts = np.bincount(text * (s * OWN_TERMS) + slot[slot >= 0], minlength=len(texts) * s * OWN_TERMS)
+        return owner, p * (1 - q), p * q, counts.reshape(len(texts), s, OWN_TERMS)
 
     def features(self, texts: list[str | None], sources: list[str | None]) -> np.ndarray:
         """Documents × subjects × features."""
-        owner, on, passing = self.sentence_scores(texts)
+        owner, on, passing, own = self.sentence_scores(texts)
         n, s = len(texts), len(self.subjects)
         counts = []
         for p in (on, passing):
@@ -122,30 +137,27 @@ class Model:
         )
         shape = np.stack([structure(t or "", c) for t, c in zip(texts, sources)]) if n else np.zeros((0, 3 + SOURCE_SLOTS))
         wide = np.broadcast_to(shape[:, None, :], (n, s, shape.shape[1]))
-        return np.concatenate([per, wide, np.ones((n, s, 1))], 2)
+        return np.concatenate([per, np.log1p(own), wide, np.ones((n, s, 1))], 2)
 
     def decode(self, features: np.ndarray) -> list[list[int]]:
         """The most probable combination of subjects of each document, by beam search along the chain."""
-        n, s = features.shape[:2]
-        out = []
-        base = np.empty((n, s))
+        n, s, wide = features.shape
+        score = np.zeros((n, 1))
+        chosen = np.zeros((n, 1, s), bool)
         for k, j in enumerate(self.order):
-            base[:, k] = features[:, j] @ self.chain[k][: features.shape[2]]
-        for i in range(n):
-            beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-            for k in range(s):
-                follow = self.chain[k][features.shape[2] :]
-                a, b = self.scale[k]
-                grown = []
-                for score, chosen in beam:
-                    z = a * (base[i, k] + sum(follow[c] for c in chosen)) + b
-                    no = -np.logaddexp(0, z)
-                    grown.append((score + no, chosen))
-                    if len(chosen) < MOST_SUBJECTS:
-                        grown.append((score + z + no, (*chosen, k)))
-                beam = sorted(grown, key=lambda x: (-x[0], x[1]))[:BEAM]
-            out.append([self.order[k] for k in beam[0][1]])
-        return out
+            follow, (a, b) = self.chain[k][wide:], self.scale[k]
+            z = a * ((features[:, j] @ self.chain[k][:wide])[:, None] + chosen @ follow) + b
+            no = -np.logaddexp(0, z)
+            # A subject that no sentence is about can't be chosen.
+            more = np.where((chosen.sum(2) < MOST_SUBJECTS) & (features[:, j, :1] > 0), z, -np.inf)
+            both = np.concatenate([score + no, score + more + no], 1)
+            with_k = chosen.copy()
+            with_k[:, :, k] = True
+            grown = np.concatenate([chosen, with_k], 1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :BEAM]
+            score = np.take_along_axis(both, best, 1)
+            chosen = np.take_along_axis(grown, best[:, :, None], 1)
+        return [[self.order[k] for k in np.flatnonzero(row)] for row in chosen[:, 0]]
 
     def predict(self, texts: list[str | None], sources: list[str | None]) -> list[list[str]]:
         found = self.decode(self.features(texts, sources))
@@ -252,32 +264,62 @@ def fit(texts: list[str], sources: list[str | None], labels: list[set[str]], sub
     # Off topic: the only sentence of its subject in a document that has others and isn't labelled with it.
     alone = (spoken[doc_of, subject] <= 1) & (given[doc_of, subject] == 0) & (spoken[doc_of].sum(1) >= 3)
     cue = _cues(ids, sentence_of, (alone & (subject >= 0)).astype(float), subject, len(vocabulary), s)
-    model = Model(subjects, vocabulary, topic.astype(np.float32), cue.astype(np.float32), [], [], [])
+    seen_often = np.bincount(ids, minlength=len(vocabulary))
+    own = np.full(len(vocabulary), -1)
+    for k in range(s):
+        worth = np.where(topic.argmax(1) == k, np.maximum(topic[:, k], 0) * np.sqrt(seen_often), 0)
+        best = np.argsort(-worth, kind="stable")[:OWN_TERMS]
+        best = best[worth[best] > 0]
+        own[best] = k * OWN_TERMS + np.arange(len(best))
+    model = Model(subjects, vocabulary, topic.astype(np.float32), cue.astype(np.float32), own, [], [], [])
     features = model.features(list(texts), sources)
-    evidence = np.expm1(features[:, :, 0])
-    share = features[:, :, 1]
-    clear = (evidence > 1.4) & (share > 0.2) | (evidence > 0.6) & (share > 0.45)
-    # A given label stays unless the text clearly speaks of others only; a missing one comes in where the text is clear.
-    target = np.where(given > 0, clear | (evidence > 0.6) | ~clear.any(1, keepdims=True), clear).astype(float)
-    model.order = [int(j) for j in np.lexsort((np.arange(s), -target.sum(0)))]
+    target = _noisy_chain(model, features, given)
     held = np.arange(len(texts)) % 5 == 4
     for k, j in enumerate(model.order):
         x = np.concatenate([features[:, j], target[:, model.order[:k]]], 1)
-        y = target[:, j]
-        w = _logistic(x[~held], y[~held], 1.0) if (~held).any() else np.zeros(x.shape[1])
-        full = np.zeros(features.shape[2] + s)
-        full[: len(w)] = w
-        model.chain.append(full)
-        z = x[held] @ w
+        z = x[held] @ model.chain[k][: x.shape[1]]
+        y = target[held, j]
         scale = (1.0, 0.0)
-        if held.any() and 0 < y[held].sum() < held.sum():
-            a, b = _logistic(np.stack([z, np.ones(len(z))], 1), y[held], 0.5)
+        if held.any() and 0.5 < y.sum() < held.sum() - 0.5:
+            a, b = _logistic(np.stack([z, np.ones(len(z))], 1), y, 0.5)
             if a > 0:
                 scale = (float(a), float(b))
         model.scale.append(scale)
     return model
 
 
+def _noisy_chain(model: Model, features: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Fits the chain to hidden subjects; returns the probability of each in each document of the sample.
+
+    Starts from the sentences, each of which shows its subject with a probability
+    of ``SHOWN``; a subject that no sentence is about isn't there whatever its label
+    says, then and later.
+    """
+    n, s, wide = features.shape
+    fitted = np.arange(n) % 5 != 4 if n >= 5 else np.ones(n, bool)
+    spoken_of = features[:, :, 0] > 0
+    prior = 1 - (1 - SHOWN) ** np.expm1(features[:, :, 0])
+    lacking, wrong = np.full(s, LACKING), np.full(s, WRONG)
+    for _ in range(NOISE_ROUNDS):
+        there = np.where(given > 0, prior * (1 - lacking), prior * lacking)
+        not_there = np.where(given > 0, (1 - prior) * wrong, (1 - prior) * (1 - wrong))
+        target = spoken_of * there / np.maximum(there + not_there, 1e-12)
+        # A subject lacks its label where the label went to another one, so only documents with two tell how often.
+        beside = target * np.minimum(1, target.sum(1, keepdims=True) - target)
+        lacking = np.full(s, np.clip((beside * (1 - given)).sum() / max(1.0, beside.sum()), 0.01, 0.9))
+        wrong = np.clip(((1 - target) * given).sum(0) / np.maximum((1 - target).sum(0), 1), 1e-4, 0.2)
+        model.order = [int(j) for j in np.lexsort((np.arange(s), -target.sum(0)))]
+        model.chain = []
+        for k, j in enumerate(model.order):
+            x = np.concatenate([features[:, j], target[:, model.order[:k]]], 1)
+            w = _logistic(x[fitted], target[fitted, j], 1.0)
+            full = np.zeros(wide + s)
+            full[: len(w)] = w
+            model.chain.append(full)
+            prior[:, j] = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+    return target
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, chars: int = MOST_CHARS):
     """Texts, sources and label sets of at most ``most`` labelled documents, by the hash of their ids."""
     tagged = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))

@@ -56,6 +56,34 @@ def test_without_labels_or_documents(spark):
     assert subjects.assign_subjects(*frames(spark, [], [], TERMS)).count() == 0
 
 
+def test_any_number_of_subjects(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(subjects, "fit", lambda texts, sources, labels, names: seen.append(names))
+    docs, labels, _ = corpus(20)
+    subjects.assign_subjects(*frames(spark, docs, labels, [f"s{i:04}" for i in range(1500)]))
+    assert len(seen[0]) == 1500
+
+
+def test_second_subjects_without_labels_are_found():
+    # Documents of two subjects carry the label of one of them only.
+    docs, _, truth = corpus(900, 3)
+    r = random.Random(1)
+    sample = [(t, s, {r.choice(sorted(truth[i]))}) for i, t, s in docs[:600] if truth[i]]
+    model = subjects.fit([t for t, _, _ in sample], [s for _, s, _ in sample], [own for *_, own in sample], sorted(TERMS))
+    found = model.predict([t for _, t, _ in docs[600:]], [s for *_, s in docs[600:]])
+    want = {(i, s) for i, _, _ in docs[600:] for s in truth[i]}
+    got = {(i, s) for (i, _, _), own in zip(docs[600:], found) for s in own}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
+def test_beam_of_a_batch_is_that_of_each_document():
+    docs, labels, truth = corpus(200, 4)
+    model = subjects.fit([t for _, t, _ in docs], [s for *_, s in docs], [truth[i] for i, _, _ in docs], sorted(TERMS))
+    texts, sources = [t for _, t, _ in docs[:40]], [s for *_, s in docs[:40]]
+    assert model.predict(texts, sources) == [model.predict([t], [s])[0] for t, s in zip(texts, sources)]
+    assert all(len(own) <= subjects.MOST_SUBJECTS for own in model.predict(texts, sources))
+
+
 def test_very_long_text(spark):
     docs, labels, _ = corpus(300)
     docs.append((5000, ("Visit 3 covers itch score in Lorima. " * 20_000), None))
