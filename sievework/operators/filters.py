@@ -26,6 +26,17 @@ def compatible(age: str = "age_days", sex: str = "sex", low: str = "min_days", h
     return ~below & ~above & ~differs
 
 
+def compatible_counts(topics: DataFrame, documents: DataFrame, topic: str, key: str, condition: Column, columns: list[str]) -> DataFrame:
+    """``(topic, documents, first_doc)``: how many documents the condition leaves each topic, and the smallest id among them.
+
+    Documents that agree in all ``columns`` of the condition are counted as one
+    row first, so the condition joins topics with combinations of bounds and not
+    with documents.
+    """
+    kinds = documents.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    return topics.join(kinds, condition).groupBy(topic).agg(F.sum("n").alias("documents"), F.min("least").alias("first_doc"))
+
+
 def derived_topics(items: DataFrame) -> DataFrame:
     """Topics with an age and a sex made from their ids: the data have none of their own."""
     i = F.col("item_id")
@@ -34,12 +45,15 @@ def derived_topics(items: DataFrame) -> DataFrame:
 
 def derived_bounds(documents: DataFrame) -> DataFrame:
     """Bounds and wanted sex of documents made from their ids."""
+    return documents.select("doc_id", *(c.alias(n) for n, c in bound_columns().items()))
+
+
+def bound_columns() -> dict[str, Column]:
     d = F.col("doc_id")
     wanted = F.when(d % 4 == 0, "all").when(d % 4 == 1, " Male").when(d % 4 == 2, "FEMALE")
-    return documents.select(
-        "doc_id", (F.nullif(d % 7, F.lit(0)) * 5).cast("double").alias("min_days"), (F.nullif(d % 5, F.lit(0)) * 20).cast("double").alias("max_days"),
-        wanted.alias("wanted_sex"),
-    )
+    return {
+        "min_days": (F.nullif(d % 7, F.lit(0)) * 5).cast("double"), "max_days": (F.nullif(d % 5, F.lit(0)) * 20).cast("double"), "wanted_sex": wanted,
+    }
 
 
 SQL_TOPICS = """topics AS (SELECT item_id, nullif((item_id % 90)::DOUBLE, 0.0) AS age_days,

@@ -7,11 +7,12 @@ and rank by the score to nine decimals, ties by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .scratch import Scratch
 
 K1, B = 1.2, 0.75
 
@@ -37,10 +38,10 @@ def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def document_vectors(posted: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """``(key, term, weight)``: the saturated term frequency."""
+def document_vectors(posted: DataFrame, stats: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, term, weight)`` and the columns named: the saturated term frequency."""
     return posted.crossJoin(F.broadcast(stats.select("average_length"))).select(
-        key, "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))).alias("weight")
+        key, *more, "term", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))).alias("weight")
     )
 
 
@@ -49,22 +50,33 @@ def query_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
     return queries.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def scores(queries: DataFrame, documents: DataFrame, query_key: str, key: str) -> DataFrame:
-    """``(query_key, key, score)`` of every pair that shares a term.
+def scores(
+    queries: DataFrame, documents: DataFrame, query_key: str, key: str, scratch: Scratch, condition: Column | None = None,
+    query_columns: tuple[str, ...] = (), document_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(query_key, key, score)`` of every pair that shares a term, and of these only such as the ``condition`` allows.
 
-    The terms of the queries select the postings before these are weighed;
-    whether they are sent to all tasks or both sides meet by term is left to
-    the sizes seen at run time.
+    The corpus is tokenised once. Postings are made for the terms of the queries
+    alone, before anything is shuffled; term frequencies, document frequencies
+    and weights all come from these. The condition may use the columns named of
+    either side: they travel with the postings, so a pair that it rules out is
+    neither scored nor shuffled. Statistics are those of all documents.
     """
-    posted, stats = postings(documents, key), corpus_stats(documents)
-    asked = query_terms(queries, query_key)
+    listed = scratch.save(documents.where(F.col("text").isNotNull()).select(key, *document_columns, tokens("text").alias("t")).withColumn("length", F.size("t")))
+    stats = listed.agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("terms"), F.avg("length").alias("average_length"))
+    asked = scratch.save(query_terms(queries, query_key))
     wanted = asked.select("term").distinct()
-    rare = idf(posted.join(wanted, "term", "left_semi"), stats)
-    weighed = document_vectors(posted.join(wanted, "term", "left_semi"), stats, key)
-    return (
-        asked.join(rare, "term").select(query_key, "term", (F.col("idf") * F.col("count")).alias("w"))
-        .join(weighed, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
-    )
+    spelled = listed.select(key, *document_columns, "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    posted = scratch.save(spelled.groupBy(key, *document_columns, "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    rare = idf(posted, stats)
+    weighed = document_vectors(posted, stats, key, document_columns)
+    terms = asked.join(rare, "term").select(query_key, "term", (F.col("idf") * F.col("count")).alias("w"))
+    if query_columns:
+        terms = terms.join(queries.select(query_key, *query_columns), query_key)
+    pairs = terms.join(weighed, "term")
+    if condition is not None:
+        pairs = pairs.where(condition)
+    return pairs.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
 def top_k(scored: DataFrame, query_key: str, key: str, k: int, score: str = "score", positive: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import filters, lexical
+from ..operators.scratch import Scratch
 from ..sources.tables import table
 from . import sql
 
@@ -42,7 +43,7 @@ def bm25_doc_vectors(spark, folder):
 
 
 def _scores(spark, folder):
-    return lexical.scores(table(spark, folder, "eval_items"), _docs(spark, folder), "item_id", "doc_id")
+    return lexical.scores(table(spark, folder, "eval_items"), _docs(spark, folder), "item_id", "doc_id", Scratch(spark))
 
 
 def bm25_scores(spark, folder):
@@ -52,8 +53,12 @@ def bm25_scores(spark, folder):
 
 def bm25_filtered_topk(spark, folder):
     """Top ten among the documents that age and sex don't rule out."""
-    topics, bounds = filters.derived_topics(table(spark, folder, "eval_items")), filters.derived_bounds(_docs(spark, folder))
-    allowed = _scores(spark, folder).join(topics, "item_id").join(bounds, "doc_id").where(filters.compatible())
+    items = table(spark, folder, "eval_items")
+    topics = items.join(filters.derived_topics(items), "item_id")
+    bounds = filters.bound_columns()
+    allowed = lexical.scores(
+        topics, _docs(spark, folder).withColumns(bounds), "item_id", "doc_id", Scratch(spark), filters.compatible(), ("age_days", "sex"), tuple(bounds)
+    )
     return lexical.top_k(allowed, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -74,7 +79,7 @@ def compat_filter_tolerant(spark, folder):
 def compat_theta_join(spark, folder):
     """Documents that each topic isn't ruled out of, counted: the topics are a stated set, the condition is the join's own."""
     topics, bounds = filters.derived_topics(table(spark, folder, "eval_items")), filters.derived_bounds(_docs(spark, folder))
-    return topics.join(bounds, filters.compatible()).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+    return filters.compatible_counts(topics, bounds, "item_id", "doc_id", filters.compatible(), ["min_days", "max_days", "wanted_sex"])
 
 
 def query_audit(spark, folder):
