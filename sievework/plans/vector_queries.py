@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import fusion, neardup, overlap, vector
+from ..operators import filters, fusion, lexical, neardup, overlap, vector
 from ..operators.scratch import Scratch
 from ..sources.tables import table
 from . import sql
@@ -60,6 +60,45 @@ def ann_recall(spark, folder):
     return vector.recall(exact, near, "query_id", "vec_id")
 
 
+def _filtered(spark, folder):
+    """Exact and approximate answers among the rows of even labels."""
+    rows, q, allowed = _rows(spark, folder), _queries(spark, folder), F.col("label") % 2 == 0
+    exact = vector.exact_top_k(q, rows.where(allowed), "vec_id", "embedding", 10)
+    centres, probes = vector.fit_cells(rows, "vec_id", "embedding", 10)
+    return exact, vector.cell_top_k(q, rows, "vec_id", "embedding", centres, 10, probes, allowed)
+
+
+def ann_search(spark, folder):
+    """Approximate neighbours under a filter; the cells are fitted to a sample, so there is no SQL."""
+    return _filtered(spark, folder)[1].select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
+def ann_index_recall(spark, folder):
+    """Recall of ``ann_search`` per query."""
+    return vector.recall(*_filtered(spark, folder), "query_id", "vec_id")
+
+
+def hybrid_search(spark, folder):
+    """Documents for every evaluation item by fusion of a dense and a sparse search, both among the documents that one filter allows.
+
+    An item's vector is the embedding numbered a thousand below it, a document's that of its own number.
+    """
+    items, docs = table(spark, folder, "eval_items"), table(spark, folder, "documents")
+    bounds = filters.derived_bounds(docs).withColumns({"age_days": F.lit(40.0), "sex": F.lit("Female")})
+    allowed = Scratch(spark).save(bounds.where(filters.compatible()).select("doc_id"))
+    mine = docs.withColumns(filters.bound_columns() | {"age_days": F.lit(40.0), "sex": F.lit("Female")})
+    sparse = lexical.scores(items, mine, "item_id", "doc_id", Scratch(spark), filters.compatible(), (), ("min_days", "max_days", "wanted_sex", "age_days", "sex"))
+    vectors = _rows(spark, folder).select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.withColumn("doc_id", F.col("doc_id") + 1000).join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    dense = vector.exact_top_k(asked, vectors.join(allowed, "doc_id", "left_semi"), "doc_id", "embedding", 100, exclude_self=False)
+    branches = [
+        lexical.top_k(sparse, "item_id", "doc_id", 100).select("item_id", "doc_id", "rank", F.lit("sparse").alias("branch")),
+        dense.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.lit("dense").alias("branch")),
+    ]
+    fused = fusion.rrf(branches[0].unionByName(branches[1]), "item_id", "doc_id", 10)
+    return fused.select("item_id", "doc_id", "rank", "branches", F.round("score", 6).alias("score"))
+
+
 def _segments(spark, folder):
     """A hundred best segments of each query; segment ``3 d + f`` is field ``f`` of document ``d``."""
     found = vector.exact_top_k(_queries(spark, folder), _rows(spark, folder), "vec_id", "embedding", 100)
@@ -110,7 +149,7 @@ def overlap_gate(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_validate, linear_head_score, dense_scores, dense_topk, topk_tie_stable, ann_recall, passage_max_pool, passage_rrf, near_dup_pairs,
+        vector_validate, linear_head_score, dense_scores, dense_topk, topk_tie_stable, ann_recall, ann_search, ann_index_recall, hybrid_search, passage_max_pool, passage_rrf, near_dup_pairs,
         dup_components, component_stats, overlap_audit, overlap_gate,
     )
 }
@@ -164,6 +203,16 @@ SQL = {
         FROM pairs p JOIN cells c ON p.query_id = c.query_id AND p.label = c.label) WHERE n <= 10)
         SELECT r.query_id, round(count(n.vec_id) / count(*), 6) AS recall FROM ranked r LEFT JOIN near n ON r.query_id = n.query_id AND r.vec_id = n.vec_id
         WHERE rank <= 10 GROUP BY 1""",
+    "hybrid_search": f"""WITH {sql.POSTINGS}, {filters.SQL_BOUNDS},
+        allowed AS (SELECT doc_id FROM (SELECT *, 40.0::DOUBLE AS age_days, 'Female' AS sex FROM bounds) WHERE {filters.SQL_COMPATIBLE}),
+        v AS (SELECT vec_id, {_E} AS e FROM embeddings),
+        sparse AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored SEMI JOIN allowed USING (doc_id)),
+        dense AS (SELECT q.vec_id + 1000 AS item_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, d.vec_id) AS rank
+                  FROM v q SEMI JOIN eval_items i ON q.vec_id + 1000 = i.item_id JOIN v d ON true SEMI JOIN allowed a ON d.vec_id = a.doc_id),
+        fused AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s, count(*) AS branches
+                  FROM (FROM sparse UNION ALL FROM dense) WHERE rank <= 100 GROUP BY 1, 2)
+        SELECT item_id, doc_id, rank, branches, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM fused)
+        WHERE rank <= 10""",
     "passage_max_pool": f"WITH {_EXACT}, {_POOL} SELECT query_id, doc, field, vec_id, round(score, 5) AS score FROM pooled",
     "passage_rrf": f"""WITH {_EXACT}, {_POOL}, branch AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id, field ORDER BY score DESC, doc) AS rank FROM pooled)
         SELECT query_id, doc, rank, score FROM (SELECT query_id, doc, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc) AS rank

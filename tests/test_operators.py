@@ -302,6 +302,25 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         module.checkpoint_dir(Session())
 
 
+def test_cells_reach_their_recall_under_a_filter(spark, monkeypatch):
+    import numpy as np
+    from sievework.operators import vector
+
+    monkeypatch.setattr(vector, "ROW_BLOCK", 50)
+    g = np.random.default_rng(2)
+    m = np.repeat(g.standard_normal((40, 16)), 50, axis=0) + 0.4 * g.standard_normal((2000, 16))
+    rows = spark.createDataFrame([(i, [float(x) for x in v], i % 2) for i, v in enumerate(m)], "vec_id long, e array<float>, odd int")
+    asked, allowed = rows.where("vec_id % 50 = 0"), F.col("odd") == 0
+    centres, probes = vector.fit_cells(rows, "vec_id", "e", 10)
+    exact = vector.exact_top_k(asked, rows.where(allowed), "vec_id", "e", 10)
+    near = vector.cell_top_k(asked, rows, "vec_id", "e", centres, 10, probes, allowed)
+    found = vector.recall(exact, near, "query_id", "vec_id").agg(F.avg("recall").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    assert found["n"] == 40 and found["r"] >= 0.95 and probes < len(centres)
+    assert near.count() == 400 and near.where("vec_id % 2 = 1").count() == 0
+    none = rows.limit(0)
+    assert vector.fit_cells(none, "vec_id", "e", 10)[1] == 0 and vector.cell_top_k(asked, none, "vec_id", "e", np.empty((0, 0)), 10, 1).count() == 0
+
+
 def test_review_picks_cycle_through_grades(spark):
     from sievework.plans.extraction_queries import pick_for_review
 
