@@ -15,9 +15,10 @@ combining marks (Mn) and format characters (Cf). The exact check that follows
 keeps an item if ``words`` consecutive words of it stand consecutively in the
 document.
 
-Items are indexed in blocks of at most ``BLOCK_CHARS`` characters, whatever
-their number; each block goes to the workers and is searched in one pass over
-the documents. Documents are never shuffled.
+Items are indexed in blocks of about ``BLOCK_CHARS`` characters, whatever their
+number. A pass over the documents searches ``AT_ONCE`` blocks; a worker builds
+the index of a block once, for all its tasks of the pass. Documents are never
+shuffled.
 
 Edge cases: null and blank texts match nothing; an item of fewer words than
 required matches nothing; repeated documents and items each give their rows;
@@ -29,6 +30,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,6 +43,7 @@ WORDS = 12
 EDITS = 1
 MOST_Q = 16
 BLOCK_CHARS = 4_000_000
+AT_ONCE = 4
 STEP_CHARS = 1_000_000
 TABLE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +121,15 @@ class ItemIndex:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def candidates(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(item, from, to, diagonal)``: stretches of the text with enough q-grams of the item in the band from the diagonal."""
+    def candidates(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, place, diagonal)`` of the exact runs in regions of the text with enough q-grams of the item in a band of diagonals.
+
+        A run is a longest row of q-grams that follow each other on one diagonal, given by its first place.
+        """
         h = grams(chars, self.q)
+        nothing = (np.empty(0, np.int64),) * 3
         if not len(h):
-            return []
+            return nothing
         maybe = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         slot = np.searchsorted(self.hashes, h[maybe])
         slot[slot == len(self.hashes)] = 0
@@ -130,7 +137,7 @@ class ItemIndex:
         at, slot = maybe[same], slot[same]
         span = self.w - self.q
         if len(at) < self.least:
-            return []
+            return nothing
         # Stretches dense enough with hits of any item, before the hits are spelled out.
         dense = at[self.least - 1 :] - at[: len(at) - self.least + 1] <= span + self.edits
         mark = np.zeros(len(at) + 1, np.int32)
@@ -140,7 +147,7 @@ class ItemIndex:
         keep = np.cumsum(mark[:-1]) > 0
         at, slot = at[keep], slot[keep]
         if not len(at):
-            return []
+            return nothing
         n = self.first[slot + 1] - self.first[slot]
         where = np.repeat(at, n)
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot], n)
@@ -148,61 +155,63 @@ class ItemIndex:
         step, shift = self.edits + 1, int(diagonal.min())
         band = (diagonal - shift) // step
         key = item * (int(band.max()) + 2) + band
+        # Runs, in the order of item, diagonal and place.
+        size, reach = len(chars) + 1, int(diagonal.max()) - shift + 2 * step + 1
+        runs = np.sort((item * reach + diagonal - shift) * size + where)
+        first = np.concatenate([[True], runs[1:] != runs[:-1] + 1])
+        ends = runs[np.append(np.flatnonzero(first)[1:], len(runs)) - 1]
+        runs = runs[first]
         if self.edits:  # each hit also counts in the band before its own, which overlaps it
             key, where, item = np.concatenate([key, key - 1]), np.tile(where, 2), np.tile(item, 2)
         order = np.lexsort((where, key))
         key, where, item = key[order], where[order], item[order]
         m = self.least - 1
         if len(key) <= m:
-            return []
+            return nothing
         hit = np.flatnonzero((key[m:] == key[: len(key) - m]) & (where[m:] - where[: len(where) - m] <= span + self.edits))
         if not len(hit):
-            return []
+            return nothing
         # Hits of one band that overlap make one region.
-        a, b, k = where[hit], where[hit + m] + self.q, key[hit]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] > b[:-1])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(hit)) - 1
-        wide = k[first] % (int(band.max()) + 2)
+        a, b, k = where[hit], where[hit + m], key[hit]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] > b[:-1] + self.q)])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(hit)) - 1
+        wide = k[head] % (int(band.max()) + 2)
         wide = np.where(wide > int(band.max()), -1, wide)  # the band before the first
-        low = wide * step + shift
-        return list(zip(item[hit[first]].tolist(), a[first].tolist(), b[last].tolist(), low.tolist()))
-
-    def aligned(self, text: str, k: int, a: int, b: int, low: int, passed: dict[tuple[int, int], int]) -> tuple[int, int] | None:
-        """A stretch around ``text[a:b]`` that aligns with item ``k`` within the edits and is long enough, or None.
-
-        From each q-gram shared in the band of diagonals that begins at
-        ``low`` the alignment runs to both sides, one edit at a time.
-        ``passed`` keeps how far each diagonal has been tried.
+        # The runs that touch each region on any diagonal of its band.
+        lane = wide[:, None] * step + np.arange(2 * step)
+        known = lane >= 0
+        base = (item[hit[head]][:, None] * reach + lane)[known] * size
+        low = np.searchsorted(runs, base + np.broadcast_to(a[head][:, None], lane.shape)[known], "right") - 1
+        low += (low < 0) | (ends[low] < base + np.broadcast_to(a[head][:, None], lane.shape)[known])
+        high = np.searchsorted(runs, base + np.broadcast_to(b[last][:, None], lane.shape)[known], "right")
+        count = np.maximum(high - low, 0)
+        touched = np.unique(np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count))
+        lanes, place = np.divmod(runs[touched], size)
+        return lanes // reach, place, lanes % reach + shift
+
+    def aligned(self, text: str, k: int, at: int, diagonal: int) -> tuple[int, int] | None:
+        """The stretch around a q-gram shared on a diagonal that aligns with item ``k`` within the edits, if it is long enough.
+
+        The alignment runs to both sides of the q-gram, one edit at a time, in the band of diagonals around its own.
         """
-        item, q = self.texts[k], self.q
-        band = range(low, low + 2 * (self.edits + 1))
-        for at in range(a, b - q + 1):
-            for d in band:
-                p = at - d
-                if p < 0 or at < passed.get((k, d), -1) or text[at : at + q] != item[p : p + q]:
-                    continue
-                # All q-grams of one exact run have the same alignment: one try is enough.
-                passed[k, d] = at + _slide(text, at, item, p, 1)
-                right = _reach(text, at, item, p, self.edits, 1)
-                left = _reach(text, at - 1, item, p - 1, self.edits, -1)
-                if left + right >= self.w - self.edits:
-                    return at - left, at + right
-        return None
-
-    def items_in(self, text: str, found: list[tuple[int, int, int, int]]) -> dict[int, int]:
-        """Of the candidates, items with an exact run of words, and the aligned length."""
+        item, p = self.texts[k], at - diagonal
+        right = _reach(text, at, item, p, self.edits, 1)
+        left = _reach(text, at - 1, item, p - 1, self.edits, -1)
+        return (at - left, at + right) if left + right >= self.w - self.edits else None
+
+    def items_in(self, text: str, runs: list[tuple[int, int, int]]) -> dict[int, int]:
+        """Of the items with runs ``(item, place, diagonal)`` those with an exact run of words, and the aligned length."""
         out: dict[int, int] = {}
-        passed: dict[tuple[int, int], int] = {}
-        for k, a, b, low in sorted(found):
+        for k, at, diagonal in runs:
             if k in out:
                 continue
-            span = self.aligned(text, k, a, b, low, passed)
+            span = self.aligned(text, k, at, diagonal)
             if span is None:
                 continue
-            # Whole words around the region, with room for a run that reaches past it.
-            lo = text.rfind(" ", 0, max(0, min(a, span[0]) - self.w)) + 1
-            hi = text.find(" ", min(len(text), max(b, span[1]) + self.w))
+            # Whole words around the stretch, with room for a run that reaches past it.
+            lo = text.rfind(" ", 0, max(0, span[0] - self.w)) + 1
+            hi = text.find(" ", min(len(text), span[1] + self.w))
             near = text[lo : hi if hi >= 0 else len(text)].split(" ")
             n = self.words
             if any(" ".join(near[i : i + n]) in self.windows[k] for i in range(len(near) - n + 1)):
@@ -249,8 +258,8 @@ def _reach(a: str, i: int, b: str, j: int, edits: int, way: int) -> int:
     return min(best, size_a)
 
 
-def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list, list, list]:
-    """Rows of a batch: documents are laid end to end and searched in steps."""
+def _search(index: ItemIndex, worded: list[tuple[object, str]]) -> tuple[list, list, list]:
+    """Rows of the documents of a batch, given as ``(key, words joined by blanks)``: laid end to end and searched in steps."""
     out_key, out_item, out_length = [], [], []
     gap = "\x00" * index.q
 
@@ -260,15 +269,12 @@ def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list
             starts.append(size)
             size += len(text) + len(gap)
         joined = gap.join(text for _, text in batch)
+        item, place, diagonal = index.candidates(codes(joined))
+        # Runs never reach over the gap between two documents.
+        owner = np.searchsorted(np.array(starts), place, "right") - 1
         by_doc: dict[int, list] = {}
-        bounds = np.array(starts)
-        for k, a, b, low in index.candidates(codes(joined)):
-            i = int(np.searchsorted(bounds, a, "right")) - 1
-            last = int(np.searchsorted(bounds, b - 1, "right")) - 1
-            for d in range(i, last + 1):  # a stretch may touch the next document: look at both
-                lo, hi = max(0, a - starts[d]), min(len(batch[d][1]), b - starts[d])
-                if hi - lo >= index.q:
-                    by_doc.setdefault(d, []).append((k, lo, hi, low - starts[d]))
+        for d, k, at, lane in zip(owner.tolist(), item.tolist(), place.tolist(), diagonal.tolist()):
+            by_doc.setdefault(d, []).append((k, at - starts[d], lane - starts[d]))
         for d, found in by_doc.items():
             for k, length in index.items_in(batch[d][1], found).items():
                 out_key.append(batch[d][0])
@@ -276,12 +282,9 @@ def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list
                 out_length.append(length)
 
     batch, size = [], 0
-    for key, text in zip(keys, texts):
-        words = words_of(text)
-        if len(words) < index.words:
-            continue
-        batch.append((key, " ".join(words)))
-        size += len(batch[-1][1])
+    for one in worded:
+        batch.append(one)
+        size += len(one[1])
         if size >= STEP_CHARS:
             flush(batch)
             batch, size = [], 0
@@ -290,6 +293,24 @@ def _search(index: ItemIndex, keys: list, texts: list[str | None]) -> tuple[list
     return out_key, out_item, out_length
 
 
+def _worded(keys: list, texts: list[str | None], words: int) -> list[tuple[object, str]]:
+    """Documents of enough words, as these joined by blanks."""
+    split = ((key, words_of(text)) for key, text in zip(keys, texts))
+    return [(key, " ".join(w)) for key, w in split if len(w) >= words]
+
+
+#: Indexes that this worker has built, by the name of their block; those of one pass at most.
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index(name: str, shared, names: list[str], words: int, edits: int) -> ItemIndex:
+    if name not in _BUILT:
+        for old in set(_BUILT) - set(names):
+            del _BUILT[old]
+        _BUILT[name] = ItemIndex(shared.value, words, edits)
+    return _BUILT[name]
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text",
     words: int = WORDS, edits: int = EDITS,
@@ -302,21 +323,24 @@ def leaked_items(
     kinds = source.schema["key"].dataType.simpleString(), known.schema["k"].dataType.simpleString()
     arrow = pa.int64() if kinds[1] in ("bigint", "long") else None
     spark, out = documents.sparkSession, None
-    for b in range(blocks):
-        # One block at a time, so the driver and the workers hold BLOCK_CHARS characters of items at most.
-        rows = known.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).distinct().collect()
-        shared = spark.sparkContext.broadcast([(r["k"], r["t"]) for r in rows])
-
-        def batches(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, words, edits)
+    for first in range(0, blocks, AT_ONCE):
+        held = []
+        for b in range(first, min(blocks, first + AT_ONCE)):
+            # The driver collects one block at a time; as a broadcast it is kept by the block manager, on disk where memory is short.
+            rows = known.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).distinct().collect()
+            held.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r["k"], r["t"]) for r in rows])))
+
+        def batches(parts: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names = [name for name, _ in held]
+            indexes = [x for x in (_index(name, shared, names, words, edits) for name, shared in held) if not x.empty]
             for part in parts:
-                if index.empty:
-                    continue
-                keys, found, length = _search(index, part.column(0).to_pylist(), part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, part.column(0).type), pa.array(found, arrow), pa.array(length, pa.int32())],
-                    names=["key", "item", "aligned_chars"],
-                )
+                worded = _worded(part.column(0).to_pylist(), part.column(1).to_pylist(), words) if indexes else []
+                for index in indexes:
+                    keys, found, length = _search(index, worded)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, part.column(0).type), pa.array(found, arrow), pa.array(length, pa.int32())],
+                        names=["key", "item", "aligned_chars"],
+                    )
 
         part = source.mapInArrow(batches, f"key {kinds[0]}, item {kinds[1]}, aligned_chars int")
         out = part if out is None else out.unionByName(part)
