@@ -390,10 +390,17 @@ def test_topics():
         xmlrecords.load_topics(b"<!DOCTYPE a><topics/>")
 
 
-def test_entry_without_the_optional_subpackage(spark):
-    import __spark_entry__ as entry
-
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import importlib
+    import sys
+
+    monkeypatch.setitem(sys.modules, "sievework.llm", None)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    entry = importlib.import_module("__spark_entry__")
+    assert entry.llm_queries is None and "hybrid_topk" in entry.queries()
+    assert not any(name.startswith("p") and name[1:2].isdigit() and not name.startswith("p4_") for name in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
 
 
 def test_studies_of_raw_records_are_written_and_validated(spark, tmp_path):
