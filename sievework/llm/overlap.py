@@ -2,32 +2,33 @@
 
 Texts of the evaluation splits are laid end to end in shards of about
 ``SHARD_CHARS`` characters. A shard is kept as its compressed Burrows–Wheeler
-transform and nothing else that grows with it: no text, no suffix array, no
-table of characters by blocks. A worker that opens it walks the transform back
-once from the end of every text, which locates each suffix in its text.
+transform and a sketch of each text: no text, no suffix array, no table of
+characters by blocks. A worker that has a candidate in it walks the transform
+back from the end of that text, which locates the text's suffixes.
 
-Training texts stream through the shards by backward search:
+Training texts stream through the shards, one shard after the other:
 
-1. *Intervals.* Each distinct 5-character stretch of a block of training texts
-   is searched once, endings that stretches have in common only once. The width
-   of its interval says how rare it is.
+1. *Sketches.* Each distinct 5-character stretch falls on one bit of a sketch,
+   which is the parity of the stretches that do. A stretch that two texts share
+   changes both sketches alike, so these differ in at most as many bits as the
+   texts have stretches not in common.
 2. *Candidates.* Texts of ``n`` and ``m`` distinct stretches with a similarity
-   of ``t`` share at least ``t / (1 + t) (n + m)`` of them, and so of any ``p``
-   stretches of the first at least ``p - n`` more than that. The occurrences of
-   the rarest ones are located and counted by text; texts that reach the number
-   are candidates. Nothing is estimated, so no pair is lost.
+   of ``t`` have at most ``(1 - t) / (1 + t) (n + m)`` of them not in common.
+   Pairs whose sketches differ in more bits are no match; the others are
+   candidates. Nothing is estimated, so no pair is lost.
 3. *Maximal matches.* Selecting the rows of one text from the index of a shard
    leaves the index of that text. In it the search of the training text runs
    backward for as long as the interval isn't empty; where it stops, a match is
    maximal to the left, and the next one starts so that no stretch is passed
-   over. All candidates of a block advance together, character by character.
+   over. Candidates of several shards advance together, character by character.
 4. *Merged spans and counts.* Matches that overlap are one span. The distinct
    stretches inside the spans are those the texts share, which with the numbers
    of stretches of both gives the exact similarity.
 
 Equal texts are collapsed to one class first and expanded at the end. Shards
 and blocks hold texts of a narrow range of sizes: a training text is in one
-block, and a block meets only the shards whose sizes allow a match. Texts longer
+block, and a block meets only the shards whose sizes allow a match, at most
+``MOST_SHARDS`` in one task, of which one is open at a time. Texts longer
 than ``GIANT_CHARS`` are not indexed in one task: their stretches are counted
 by joins.
 
@@ -44,7 +45,8 @@ import hashlib
 import math
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -59,12 +61,16 @@ from ..operators.skew import HOT_ROWS, salted_join
 SIMILARITY = 0.8
 STRETCH = 5
 SHARD_CHARS = 1_000_000
-TRAIN_CHARS = 6_000_000
+#: Characters of a block of training texts: at most so many, and so few that there are ``BLOCKS`` of them, but no less than two shards.
+TRAIN_CHARS, BLOCKS = 20_000_000, 12
 GIANT_CHARS = 1_000_000
-#: Stretches tried beyond those a match may lack: a share of all, and at least so many.
-EXTRA_SHARE, EXTRA = 0.07, 12
-#: Bounds of what one step of a search holds, so that it stays in the cache: occurrences, cells of candidates, pairs that advance together.
-MOST_HITS, MOST_CELLS, MOST_LANES = 250_000, 250_000, 20_000
+#: Shards that one task meets; a block that meets more is sent to several tasks.
+MOST_SHARDS = 48
+#: Bits of a sketch for each stretch of the largest text of its band, and bits of a mark.
+SKETCH_SHARE, MARK_BITS = 0.75, 40
+_ODD = np.random.default_rng(3).integers(0, 1 << 63, STRETCH + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bounds of what one step of a search holds: candidates, pairs whose sketches are compared (so that they stay in the cache), pairs that advance together.
+MOST_HITS, MOST_CELLS, MOST_LANES = 250_000, 60_000, 20_000
 EVALUATION = ("dev", "test")
 _WORDS = re.compile(r"\w+").findall
 #: Steps of the sizes by which shards are told apart.
@@ -162,6 +168,45 @@ def sizes_of(texts: list[str]) -> np.ndarray:
     return np.maximum(found, [min(1, len(t)) for t in texts]).astype(np.int64)
 
 
+def bands_of(sizes: np.ndarray) -> np.ndarray:
+    """Bands of sizes; each is wider than the one before it by ``SIZE_STEP``."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / math.log(SIZE_STEP)).astype(np.int64)
+
+
+def words_of(band: int) -> int:
+    """Words of 64 bits in a sketch of the band: half of the bits are more than the differences a match may have."""
+    return max(2, math.ceil(SKETCH_SHARE * SIZE_STEP ** (band + 1) / 64))
+
+
+def marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, mark)`` of each text's distinct stretches, by text; a mark has ``MARK_BITS`` bits and follows from the stretch alone."""
+    points, starts = _points(texts)
+    counts = np.maximum(np.diff(starts) - STRETCH, 0)
+    n = max(0, len(points) - STRETCH + 1)
+    mark = np.zeros(n, np.uint64)
+    for k in range(STRETCH):
+        mark += points[k : k + n] * _ODD[k]
+    mark ^= mark >> np.uint64(29)
+    mark *= _ODD[STRETCH]
+    mark >>= np.uint64(64 - MARK_BITS)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(owner)) + np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts)
+    both = _set((owner << MARK_BITS) | mark[place].astype(np.int64))
+    return both >> MARK_BITS, both & ((1 << MARK_BITS) - 1)
+
+
+def parities(owner: np.ndarray, mark: np.ndarray, low: int, high: int, words: int) -> np.ndarray:
+    """Sketches of texts ``low`` to ``high``, a row for each word: a bit is the parity of the number of stretches whose marks fall on it.
+
+    Two sketches differ in at most as many bits as the texts have stretches not in common.
+    """
+    a, b = np.searchsorted(owner, [low, high])
+    bits = words * 64
+    at = (owner[a:b] - low) * bits + ((mark[a:b] * bits) >> MARK_BITS)
+    odd = (np.bincount(at, minlength=(high - low) * bits) & 1).astype(np.uint8).reshape(high - low, bits)
+    return np.ascontiguousarray(np.packbits(odd, axis=1).view(np.uint64).T)
+
+
 class TextIndex:
     """A Burrows–Wheeler index of several texts that tells which text an occurrence is in.
 
@@ -179,35 +224,58 @@ class TextIndex:
         kind = np.uint8 if len(self.alphabet) <= 1 << 8 else np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         self.last = code[order - 1].astype(kind)
         self.sizes = sizes_of(texts) if sizes is None else np.asarray(sizes, np.int64)
-        self._finish()
-
-    def _finish(self) -> None:
-        """What follows from the transform and isn't stored."""
-        n, m = len(self.last), len(self.sizes)
-        self.rows, self.texts = n, m
+        self.rows, self.texts = len(self.last), len(texts)
+        owner, mark = marks(texts)
+        band = np.where([len(t) >= STRETCH for t in texts], bands_of(self.sizes), -1)
+        by_band = np.lexsort((self.sizes, band))
+        place = np.empty(len(texts), np.int64)
+        place[by_band] = np.arange(len(texts))
+        turned = np.argsort(place[owner], kind="stable")
+        owner, mark = place[owner][turned], mark[turned]
+        #: Numbers and sketches of the texts by their band of sizes, in order of size.
+        self.sketches = {}
+        for b in _set(band[band >= 0]).tolist():
+            x, y = np.searchsorted(band[by_band], [b, b + 1]).tolist()
+            self.sketches[b] = by_band[x:y], parities(owner, mark, x, y, words_of(b))
+
+    @cached_property
+    def keys(self) -> np.ndarray:
         by_last = np.argsort(self.last, kind="stable")
-        self.keys = self.last[by_last].astype(np.int64) * (n + 1) + by_last
-        # From the end of every text back to its start, all texts at once.
-        before = np.empty(n, np.int32)
-        before[by_last] = np.arange(n, dtype=np.int32)
-        before[self.last == 0] = -1
-        self.text_of = np.zeros(n, np.int32)
-        row, text = np.arange(m, dtype=np.int32), np.arange(m, dtype=np.int32)
+        return self.last[by_last].astype(np.int64) * (self.rows + 1) + by_last
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The row of the suffix one character longer; of a whole text, -1."""
+        found = np.empty(self.rows, np.int32)
+        found[np.argsort(self.last, kind="stable")] = np.arange(self.rows, dtype=np.int32)
+        found[self.last == 0] = -1
+        return found
+
+    def _walk(self, texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(row, place in texts)`` from the ends of texts back to their starts, all at once."""
+        row, place = texts.astype(np.int32), np.arange(len(texts), dtype=np.int32)
         while len(row):
-            self.text_of[row] = text
-            row = before[row]
-            if (on := row >= 0).all():
-                continue
-            row, text = row[on], text[on]
+            yield row, place
+            row = self.before[row]
+            if not (on := row >= 0).all():
+                row, place = row[on], place[on]
+
+    @cached_property
+    def text_of(self) -> np.ndarray:
+        """The text of each row."""
+        found = np.zeros(self.rows, np.int32)
+        for row, text in self._walk(np.arange(self.texts)):
+            found[row] = text
+        return found
 
     def pack(self) -> bytes:
-        return zstandard.ZstdCompressor(1).compress(pickle.dumps((self.sizes, self.alphabet, self.last), 5))
+        return zstandard.ZstdCompressor(1).compress(pickle.dumps((self.sizes, self.sketches, self.alphabet, self.last), 5))
 
     @classmethod
     def unpack(cls, blob: bytes) -> TextIndex:
         index = cls.__new__(cls)
-        index.sizes, index.alphabet, index.last = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-        index._finish()
+        index.sizes, index.sketches, index.alphabet, index.last = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        index.rows, index.texts = len(index.last), len(index.sizes)
         return index
 
     @staticmethod
@@ -286,72 +354,76 @@ class TextIndex:
             lo, hi = a, b
         return lo[ending], hi[ending]
 
-    def of_texts(self, wanted: list[int]) -> list[np.ndarray]:
+    def of_texts(self, wanted: np.ndarray) -> list[np.ndarray]:
         """The transforms of single texts, in code points: the rows of each, in the order they have here."""
+        steps = list(self._walk(wanted))
         bits = self.rows.bit_length()
-        rows = np.sort((self.text_of.astype(np.int64) << bits) | np.arange(self.rows)) & ((1 << bits) - 1)
-        cuts = np.cumsum(np.bincount(self.text_of, minlength=self.texts))
-        return [self.alphabet[self.last[rows[cuts[j - 1] if j else 0 : cuts[j]]]] for j in wanted]
-
-
-class Rare:
-    """The stretches of a block of texts, each text's from the rarest on."""
-
-    def __init__(self, grams: Grams, count: int, width: np.ndarray):
-        owner, number = grams.distinct()
-        self.size = np.bincount(owner, minlength=count)
-        bits, wide = max(1, len(grams).bit_length()), int(width.max(initial=0)).bit_length()
-        if bits + wide + count.bit_length() <= 63:
-            self.number = np.sort((((owner << wide) | width[number]) << bits) | number) & ((1 << bits) - 1)
-        else:
-            self.number = number[np.lexsort((width[number], owner))]
-        self.first = np.cumsum(self.size) - self.size
-
-
-def candidates(index: TextIndex, rare: Rare, lo: np.ndarray, width: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, indexed text)`` of all pairs that can reach the similarity."""
-    size, t = rare.size, similarity
-    least, most = int(index.sizes.min()), int(index.sizes.max())
-    ask = np.flatnonzero((size > 0) & (size * t <= most + 1e-9) & (size >= least * t - 1e-9))
-    if not len(ask):
-        return ask, ask
-    n = size[ask]
-    common = np.maximum(np.ceil(t / (1 + t) * (n + np.maximum(least, t * n)) - 1e-9).astype(np.int64), 1)
-    tried = np.minimum(n, n - common + np.maximum(EXTRA, (EXTRA_SHARE * n).astype(np.int64)))
-    where = np.arange(int(tried.sum())) + np.repeat(rare.first[ask] - (np.cumsum(tried) - tried), tried)
-    chosen = rare.number[where]
-    place = np.repeat(np.arange(len(ask)), tried)
-    w = width[chosen]
-    met = w > 0
-    place, start, w = place[met], lo[chosen[met]], w[met]
-    m, rows = index.texts, max(1, MOST_CELLS // index.texts)
-    found = []
-    for base in range(0, len(ask), rows):
-        high = min(len(ask), base + rows)
-        a, b = np.searchsorted(place, [base, high])
-        if b <= a:
+        both = np.sort((np.concatenate([p for _, p in steps]).astype(np.int64) << bits) | np.concatenate([r for r, _ in steps]))
+        cuts = np.searchsorted(both >> bits, np.arange(1, len(wanted)))
+        return np.split(self.alphabet[self.last[both & ((1 << bits) - 1)]], cuts)
+
+
+class Sketches:
+    """The sketches of texts in order of their sizes, for every band of sizes a match of theirs may have."""
+
+    def __init__(self, texts: list[str], sizes: np.ndarray, similarity: float):
+        self.order = np.argsort(sizes, kind="stable")
+        self.size = sizes[self.order]
+        ends = np.cumsum([len(texts[i]) for i in self.order])
+        parts: dict[int, list] = {}
+        low = 0
+        while low < len(texts):
+            # Numbers of stretches are held for a part of the texts at a time.
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SHARD_CHARS, "right")))
+            if (size := self.size[low:high]).max():
+                owner, mark = marks([texts[i] for i in self.order[low:high]])
+                for band in range(int(bands_of(size[size > 0][:1] * similarity - 1)[0]), int(bands_of(size[-1:] / similarity + 1)[0]) + 1):
+                    x, y = np.searchsorted(size, [max(1, similarity * SIZE_STEP**band - 1), SIZE_STEP ** (band + 1) / similarity + 1])
+                    if y > x:
+                        parts.setdefault(band, []).append((low + x, parities(owner, mark, int(x), int(y), words_of(band))))
+            low = high
+        self.bands = {b: (found[0][0], np.concatenate([f[1] for f in found], 1)) for b, found in parts.items()}
+
+
+def candidates(index: TextIndex, asked: Sketches, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(text, indexed text)`` of all pairs that can reach the similarity, in steps."""
+    apart = (1 - similarity) / (1 + similarity)
+    for band, (names, bits) in index.sketches.items():
+        first, theirs = asked.bands.get(band, (0, None))
+        if theirs is None:
             continue
-        hits = np.zeros((high - base) * m, np.int64)
-        # Occurrences are located in steps of bounded size.
-        total = np.cumsum(w[a:b])
-        steps = _set(np.concatenate([[0], np.searchsorted(total, np.arange(MOST_HITS, total[-1], MOST_HITS)), [b - a]])) + a
-        for x, y in zip(steps[:-1], steps[1:]):
-            c = w[x:y]
-            entry = np.arange(int(c.sum())) + np.repeat(start[x:y] - (np.cumsum(c) - c), c)
-            # A stretch that a text holds twice counts twice here: the count is an upper bound.
-            hits += np.bincount(np.repeat((place[x:y] - base) * m, c) + index.text_of[entry], minlength=len(hits))
-        grid = hits.reshape(high - base, m)
-        own = n[base:high, None]
-        floor = np.floor(t / (1 + t) * own + 1e-9).astype(np.int64)
-        i, j = np.nonzero(grid >= np.maximum(1, tried[base:high, None] - own + floor))
-        # The bound of the pair itself.
-        both = n[base + i] + index.sizes[j]
-        needed = tried[base + i] - n[base + i] + np.ceil(t / (1 + t) * both - 1e-9)
-        keep = (grid[i, j] >= needed) & (index.sizes[j] >= t * n[base + i] - 1e-9) & (t * index.sizes[j] <= n[base + i] + 1e-9)
-        found.append((ask[base + i[keep]], j[keep]))
-    if not found:
-        return ask[:0], ask[:0]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        sizes, rows = index.sizes[names], max(1, MOST_CELLS // len(names))
+        buffers = [np.empty(min(rows, theirs.shape[1]) * len(names), kind) for kind in (np.uint64, np.uint8, np.uint8, np.uint16)]
+        for at in range(0, theirs.shape[1], rows):
+            n = asked.size[first + at : first + min(at + rows, theirs.shape[1])]
+            # Both sides are in order of their sizes.
+            left, right = np.searchsorted(sizes, [similarity * n[0] - 1e-6, n[-1] / similarity + 1e-6]).tolist()
+            if left == right:
+                continue
+            m, shape = sizes[left:right], (len(n), right - left)
+            x, c, part, differ = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in buffers)
+            most = apart * (n[-1] + m[-1]) + 1e-6
+            words = min(len(bits), 1000, math.ceil((most + 4 * math.sqrt(most)) / (0.44 * 64)))
+            differ[:] = 0
+            for w in range(words):
+                np.bitwise_xor(theirs[w, at : at + len(n), None], bits[w, left:right], out=x)
+                # Three words fit the byte in which they are counted.
+                if w % 3:
+                    part += np.bitwise_count(x, out=c)
+                else:
+                    np.bitwise_count(x, out=part)
+                if w % 3 == 2 or w == words - 1:
+                    differ += part
+            i, j = np.nonzero(differ <= min(int(most), 65535))
+            # The bounds of the pair itself.
+            by = differ[i, j].astype(np.int64)
+            keep = (m[j] >= similarity * n[i] - 1e-6) & (similarity * m[j] <= n[i] + 1e-6) & (by <= apart * (n[i] + m[j]) + 1e-6)
+            i, j, by = i[keep], j[keep], by[keep]
+            for w in range(words, len(bits)):
+                by += np.bitwise_count(theirs[w, at + i] ^ bits[w, left + j])
+            keep = by <= apart * (n[i] + m[j]) + 1e-6
+            if keep.any():
+                yield asked.order[first + at + i[keep]], names[left + j[keep]]
 
 
 def maximal_matches(grams: Grams, texts: np.ndarray, others: list[np.ndarray], of: np.ndarray):
@@ -414,43 +486,89 @@ def maximal_matches(grams: Grams, texts: np.ndarray, others: list[np.ndarray], o
     return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
 
 
-def matches(indexes: list[TextIndex], texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """``(text, index, indexed text, shared, union, covered)`` of every pair that reaches the similarity."""
-    grams = Grams(texts)
-    if not len(grams):
-        return
-    spans = []
-    for index in indexes:
-        spans.append(index.search(index.slots(grams.alphabet)[grams.spelled]))
-    rare = Rare(grams, len(texts), sum(hi - lo for lo, hi in spans))
-    pairs = []
-    for k, (index, (lo, hi)) in enumerate(zip(indexes, spans)):
-        i, j = candidates(index, rare, lo, hi - lo, similarity)
-        pairs.append(np.stack([i, np.full(len(i), k), j], 1))
-    pairs = np.concatenate(pairs)
-    pairs = pairs[np.argsort(np.diff(grams.starts)[pairs[:, 0]], kind="stable")]
-    for low in range(0, len(pairs), MOST_LANES):
-        some = pairs[low : low + MOST_LANES]
-        known, of = np.unique(some[:, 1:], axis=0, return_inverse=True)
-        others = [t for k in np.unique(known[:, 0]) for t in indexes[k].of_texts(known[known[:, 0] == k, 1].tolist())]
-        pair, start, stop = maximal_matches(grams, some[:, 0], others, of)
+def verified(
+    texts: list[str], sizes: np.ndarray, i: np.ndarray, of: np.ndarray, others: list[np.ndarray], their: np.ndarray, similarity: float
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(text, other, shared, union, covered)`` of the candidates that reach the similarity; ``others`` are transforms of texts of sizes ``their``."""
+    length = np.array([len(texts[x]) for x in i.tolist()])
+    order = np.lexsort((i, length))
+    i, of, length = i[order], of[order], length[order]
+    # Texts whose stretches are numbered together are bounded by their characters, pairs by their number.
+    chars = np.cumsum(np.where(np.concatenate([[True], i[1:] != i[:-1]]), length, 0))
+    low = 0
+    while low < len(i):
+        high = min(low + MOST_LANES, max(low + 1, int(np.searchsorted(chars, chars[low] + SHARD_CHARS, "right"))))
+        own, mine = np.unique(i[low:high], return_inverse=True)
+        known, theirs = np.unique(of[low:high], return_inverse=True)
+        grams = Grams([texts[x] for x in own.tolist()])
+        pair, start, stop = maximal_matches(grams, mine, [others[y] for y in known.tolist()], theirs)
         order = np.lexsort((start, pair))
         pair, start, stop = pair[order], start[order], stop[order]
-        bounds = np.searchsorted(pair, np.arange(len(some) + 1))
-        for (i, k, j), a, b in zip(some.tolist(), bounds[:-1], bounds[1:]):
+        bounds = np.searchsorted(pair, np.arange(high - low + 1))
+        for g, x, y, a, b in zip(mine.tolist(), i[low:high].tolist(), of[low:high].tolist(), bounds[:-1], bounds[1:]):
             if a == b:
                 continue
-            begin, first = grams.starts[i], grams.first[i]
+            begin, first = grams.starts[g], grams.first[g]
             # Merged spans: a match may reach into the one before it.
             reach = np.maximum.accumulate(np.concatenate([[begin], stop[a:b]]))[:-1]
             covered = int((stop[a:b] - np.maximum(start[a:b], reach)).clip(0).sum())
-            mark = np.zeros(grams.first[i + 1] - first + 1, np.int64)
+            mark = np.zeros(grams.first[g + 1] - first + 1, np.int64)
             np.add.at(mark, start[a:b] - begin, 1)
             np.add.at(mark, stop[a:b] - STRETCH + 1 - begin, -1)
-            shared = len(_set(grams.number[first : grams.first[i + 1]][np.cumsum(mark[:-1]) > 0]))
-            union = int(rare.size[i] + indexes[k].sizes[j] - shared)
+            shared = len(_set(grams.number[first : grams.first[g + 1]][np.cumsum(mark[:-1]) > 0]))
+            union = int(sizes[x] + their[y] - shared)
             if shared * 10**9 >= round(similarity * 10**9) * union:
-                yield i, k, j, shared, union, covered
+                yield x, y, shared, union, covered
+        low = high
+
+
+def matches(
+    indexes: Iterable[TextIndex], texts: list[str], similarity: float, sizes: np.ndarray | None = None
+) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """``(text, index, indexed text, shared, union, covered)`` of every pair that reaches the similarity.
+
+    ``indexes`` are met one after the other; of each only the transforms of
+    candidates are kept until there are enough to search them together.
+    """
+    sizes = np.where([len(t) >= STRETCH for t in texts], sizes_of(texts) if sizes is None else sizes, 0)
+    if not sizes.any():
+        return
+    asked = Sketches(texts, sizes, similarity)
+    i, of, names, others, their, chars = [], [], [], [], [], 0
+
+    def search() -> Iterator[tuple[int, int, int, int, int, int]]:
+        if i:
+            for x, y, *counts in verified(texts, sizes, np.concatenate(i), np.concatenate(of), others, np.array(their), similarity):
+                yield x, *names[y], *counts
+        for held in (i, of, names, others, their):
+            held.clear()
+
+    for k, index in enumerate(indexes):
+        for own, j in _gathered(candidates(index, asked, similarity), MOST_HITS):
+            wanted, place = np.unique(j, return_inverse=True)
+            i.append(own)
+            of.append(place + len(others))
+            names += [(k, y) for y in wanted.tolist()]
+            others += index.of_texts(wanted)
+            their += index.sizes[wanted].tolist()
+            chars += sum(map(len, others[-len(wanted) :]))
+            if chars >= SHARD_CHARS or sum(map(len, i)) >= MOST_HITS:
+                yield from search()
+                chars = 0
+    yield from search()
+
+
+def _gathered(steps: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps put together until they hold ``most`` pairs."""
+    held, count = [], 0
+    for step in steps:
+        held.append(step)
+        count += len(step[0])
+        if count >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, count = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def normalised(records: DataFrame, key: str, text: str, split: str) -> DataFrame:
@@ -508,7 +626,8 @@ def class_pairs(classes: DataFrame, scratch: Scratch, similarity: float = SIMILA
     # One row per band; bands grow with the logarithm of the longest text.
     volume = classes.groupBy("band").agg(chars("in_eval").alias("held"), chars("in_train").alias("asked"), F.count_if(giant).alias("giants")).collect()
     shards = _cuts({r["band"]: r["held"] for r in volume if r["held"]}, SHARD_CHARS)
-    blocks = _cuts({r["band"]: r["asked"] for r in volume if r["asked"]}, TRAIN_CHARS)
+    asked = {r["band"]: r["asked"] for r in volume if r["asked"]}
+    blocks = _cuts(asked, min(TRAIN_CHARS, max(2 * SHARD_CHARS, sum(asked.values()) // BLOCKS)))
     far = math.ceil(-math.log(similarity) / math.log(SIZE_STEP))
     spread_ = lambda cut: {(n + p, b) for b, n, parts in cut for p in range(parts)}
     meets = sorted({(s, k) for s, x in spread_(shards) for k, b in spread_(blocks) if abs(x - b) <= far})
@@ -528,20 +647,28 @@ def class_pairs(classes: DataFrame, scratch: Scratch, similarity: float = SIMILA
         return pd.DataFrame({"shard": texts["shard"].iloc[:1], "classes": [list(texts["class"])], "blob": [blob]})
 
     held = placed("in_eval", shards, "shard").groupBy("shard").applyInPandas(build, "shard int, classes array<binary>, blob binary")
-    meet = spark.createDataFrame(meets, "shard int, block int")
-    sent = scratch.save(held).join(F.broadcast(meet), "shard")
+    # What one task reads is bounded: a block and at most MOST_SHARDS shards.
+    tasks, asks, of_block = [], [], {}
+    for shard, block in meets:
+        of_block.setdefault(block, []).append(shard)
+    for block in sorted(of_block):
+        for at in range(0, len(of_block[block]), MOST_SHARDS):
+            tasks += [(shard, len(asks)) for shard in of_block[block][at : at + MOST_SHARDS]]
+            asks.append((block, len(asks)))
+    sent = scratch.save(held).join(F.broadcast(spark.createDataFrame(tasks, "shard int, task int")), "shard")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
             names, others = list(left["class"]), list(right["classes"])
-            for i, k, j, *counts in matches([TextIndex.unpack(b) for b in right["blob"]], list(left["norm"]), similarity):
+            indexes = (TextIndex.unpack(b) for b in right["blob"])
+            for i, k, j, *counts in matches(indexes, list(left["norm"]), similarity, left["size"].to_numpy()):
                 if names[i] != others[k][j]:
                     rows.append((names[i], others[k][j], *counts))
         return pd.DataFrame(rows, columns=["train_class", "eval_class", "shared", "union", "covered"])
 
-    train = placed("in_train", blocks, "block").drop("size")
-    near = train.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(search, PAIRS)
+    train = placed("in_train", blocks, "block").join(F.broadcast(spark.createDataFrame(asks, "block int, task int")), "block")
+    near = train.groupBy("task").cogroup(sent.groupBy("task")).applyInPandas(search, PAIRS)
     return near if found is None else near.unionByName(found)
 
 

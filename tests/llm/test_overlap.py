@@ -136,3 +136,53 @@ def test_a_text_that_most_topics_have(spark):
     frame = spark.createDataFrame(rows, "topic_id string, split string, text string")
     got = [(x["train_key"], x["eval_key"]) for x in overlap.overlaps(frame, Scratch(spark), hot_rows=50).collect()]
     assert sorted(got) == sorted((f"t{i}", "d1") for i in range(300))
+
+
+def test_one_index_is_held_at_a_time():
+    import weakref
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(300)]
+    b = [" ".join(r.choice(words) for _ in range(40)) for _ in range(60)]
+    a = [t[: r.randrange(len(t) - 20, len(t))] for t in b]
+    alive, most = weakref.WeakSet(), []
+
+    def indexes():
+        for k in range(0, 60, 5):
+            index = overlap.TextIndex.unpack(overlap.TextIndex(b[k : k + 5]).pack())
+            alive.add(index)
+            most.append(len(alive))
+            yield index
+            del index
+
+    got = {(i, k * 5 + j): tuple(rest) for i, k, j, *rest in overlap.matches(indexes(), a, 0.8)}
+    assert len(got) >= 60 and got == brute_matches(a, b) and max(most) <= 2
+
+
+def test_blocks_that_meet_more_shards_than_one_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 400)
+    monkeypatch.setattr(overlap, "TRAIN_CHARS", 3_000)
+    monkeypatch.setattr(overlap, "MOST_SHARDS", 2)
+    rows = corpus(12)
+    frame = spark.createDataFrame(rows, "topic_id string, split string, text string")
+    got = [(x["train_key"], x["eval_key"]) for x in overlap.overlaps(frame, Scratch(spark)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8, 1.0])
+def test_sketches_lose_no_pair(monkeypatch, similarity):
+    monkeypatch.setattr(overlap, "MOST_CELLS", 300)
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 700)
+    r = random.Random(7)
+    base = ["".join(r.choice("ab") for _ in range(r.randrange(5, 60))) for _ in range(20)] + ["".join(r.choice("abcdefgh ") for _ in range(r.choice((30, 300)))) for _ in range(20)]
+
+    def near(t):
+        at = r.randrange(len(t))
+        return t[:at] + r.choice(["", "x", "ab", t[: r.randrange(20)]]) + t[at + r.randrange(3) :]
+
+    a, b = ([near(r.choice(base)) for _ in range(120)] for _ in range(2))
+    a, b = ([t for t in texts + ["aaaaaaaa", "aaaaa" * 30] if len(t) >= 5] for texts in (a, b))
+    part = round(similarity * 10)
+    sets = [[overlap.stretches(t) for t in texts] for texts in (a, b)]
+    want = {(i, j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if 10 * len(x & y) >= part * len(x | y)}
+    assert len(want) > 10 and set(found_matches(a, [b[:50], b[50:]], similarity)) == want
