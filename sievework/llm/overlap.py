@@ -29,8 +29,8 @@ Equal texts are collapsed to one class first and expanded at the end. Shards
 and blocks hold texts of a narrow range of sizes: a training text is in one
 block, and a block meets only the shards whose sizes allow a match, at most
 ``MOST_SHARDS`` in one task, of which one is open at a time. Texts longer
-than ``GIANT_CHARS`` are not indexed in one task: their stretches are counted
-by joins.
+than ``GIANT_CHARS`` are not indexed in one task: their stretches and those of
+all texts of like size are counted by joins.
 
 Edge cases: null and blank texts, and texts without a word character, are
 never a case; a text shorter than a stretch counts as one stretch, itself;
@@ -46,7 +46,7 @@ import math
 import pickle
 import re
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -624,14 +624,26 @@ def class_pairs(classes: DataFrame, scratch: Scratch, similarity: float = SIMILA
     usual = classes.where(~giant)
     chars = lambda side: F.coalesce(F.sum(F.when(F.col(side) & ~giant, F.length("norm"))), F.lit(0))
     # One row per band; bands grow with the logarithm of the longest text.
-    volume = classes.groupBy("band").agg(chars("in_eval").alias("held"), chars("in_train").alias("asked"), F.count_if(giant).alias("giants")).collect()
+    volume = classes.groupBy("band").agg(
+        chars("in_eval").alias("held"), chars("in_train").alias("asked"),
+        *(F.count_if(giant & F.col(side)).alias(name) for side, name in (("in_train", "large_asked"), ("in_eval", "large_held"))),
+    ).collect()
     shards = _cuts({r["band"]: r["held"] for r in volume if r["held"]}, SHARD_CHARS)
     asked = {r["band"]: r["asked"] for r in volume if r["asked"]}
     blocks = _cuts(asked, min(TRAIN_CHARS, max(2 * SHARD_CHARS, sum(asked.values()) // BLOCKS)))
     far = math.ceil(-math.log(similarity) / math.log(SIZE_STEP))
     spread_ = lambda cut: {(n + p, b) for b, n, parts in cut for p in range(parts)}
     meets = sorted({(s, k) for s, x in spread_(shards) for k, b in spread_(blocks) if abs(x - b) <= far})
-    found = giant_pairs(classes.where(giant), similarity) if any(r["giants"] for r in volume) else None
+    # A text too long for an index is compared with all of like size, which may be far shorter.
+    near_large = {c: sorted({r["band"] + d for r in volume if r[c] for d in range(-far, far + 1)}) for c in ("large_asked", "large_held")}
+    found = None
+    if any(near_large.values()):
+        large_asked, large_held = classes.where(giant & F.col("in_train")), classes.where(giant & F.col("in_eval"))
+        parts = [
+            (large_asked, classes.where("in_eval").where(F.col("band").isin(near_large["large_asked"]))),
+            (usual.where("in_train").where(F.col("band").isin(near_large["large_held"])), large_held),
+        ]
+        found = giant_pairs([p for p, bands in zip(parts, near_large.values()) if bands], classes.select("class", "size"), similarity)
     if not meets:
         return found if found is not None else spark.createDataFrame([], PAIRS)
 
@@ -672,10 +684,11 @@ def class_pairs(classes: DataFrame, scratch: Scratch, similarity: float = SIMILA
     return near if found is None else near.unionByName(found)
 
 
-def giant_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """``class_pairs`` of texts too long for one task's index: distinct stretches are joined and counted.
+def giant_pairs(parts: list[tuple[DataFrame, DataFrame]], sizes: DataFrame, similarity: float) -> DataFrame:
+    """``class_pairs`` of pairs of which a text is too long for one task's index: distinct stretches are joined and counted.
 
-    There are few such texts, at most one per ``GIANT_CHARS`` characters of the corpus.
+    ``parts`` are training and evaluation classes that meet. There are few texts
+    so long, at most one per ``GIANT_CHARS`` characters of the corpus.
     """
 
     def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -686,10 +699,11 @@ def giant_pairs(classes: DataFrame, similarity: float) -> DataFrame:
                     some = own[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.binary()), pa.array(some, pa.string())], names=["class", "g"])
 
-    sizes = classes.select("class", "size")
-    left = classes.where("in_train").select("class", "norm").mapInArrow(spell, "class binary, g string").withColumnRenamed("class", "train_class")
-    right = classes.where("in_eval").select("class", "norm").mapInArrow(spell, "class binary, g string").withColumnRenamed("class", "eval_class")
-    shared = left.join(right, "g").where("train_class != eval_class").groupBy("train_class", "eval_class").agg(F.count(F.lit(1)).alias("shared"))
+    spelled = lambda side, name: side.select("class", "norm").mapInArrow(spell, "class binary, g string").withColumnRenamed("class", name)
+    shared = reduce(DataFrame.unionByName, [
+        spelled(left, "train_class").join(spelled(right, "eval_class"), "g").where("train_class != eval_class").groupBy("train_class", "eval_class").agg(F.count(F.lit(1)).alias("shared"))
+        for left, right in parts
+    ])
     both = shared.join(sizes.toDF("train_class", "a"), "train_class").join(sizes.toDF("eval_class", "b"), "eval_class")
     both = both.withColumn("union", F.col("a") + F.col("b") - F.col("shared"))
     # The span is not measured for these: at least the shared stretches are covered.

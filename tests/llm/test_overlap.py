@@ -186,3 +186,18 @@ def test_sketches_lose_no_pair(monkeypatch, similarity):
     sets = [[overlap.stretches(t) for t in texts] for texts in (a, b)]
     want = {(i, j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if 10 * len(x & y) >= part * len(x | y)}
     assert len(want) > 10 and set(found_matches(a, [b[:50], b[50:]], similarity)) == want
+
+
+def test_texts_too_long_for_one_index_meet_shorter_ones(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "GIANT_CHARS", 100)
+    text = "a patient of forty years with a rash on both arms asks for a study near home or in the next town"
+    long, short = text + " by car", text[:-1]
+    assert len(short) < 100 < len(long)
+    rows = [("1", "train", long), ("2", "dev", short), ("3", "train", short), ("4", "test", long), ("5", "train", "one two " * 3), ("6", "dev", "one two " * 40),
+            ("7", "train", "six ten " * 40), ("8", "test", "six ten " * 4), ("9", "dev", "no other text has these words")]
+    want = brute(rows)
+    assert {("1", "2"), ("3", "4"), ("5", "6"), ("7", "8")} <= want
+    for some in (rows, rows[:2], rows[2:4]):
+        frame = spark.createDataFrame(some, "topic_id string, split string, text string")
+        got = [(x["train_key"], x["eval_key"]) for x in overlap.overlaps(frame, Scratch(spark)).collect()]
+        assert sorted(got) == sorted(brute(some))
