@@ -62,10 +62,10 @@ SIMILARITY = 0.8
 STRETCH = 5
 SHARD_CHARS = 1_000_000
 #: Characters of a block of training texts: at most so many, and so few that there are ``BLOCKS`` of them, but no less than two shards.
-TRAIN_CHARS, BLOCKS = 20_000_000, 12
+TRAIN_CHARS, BLOCKS = 40_000_000, 12
 GIANT_CHARS = 1_000_000
 #: Shards that one task meets; a block that meets more is sent to several tasks.
-MOST_SHARDS = 48
+MOST_SHARDS = 128
 #: Bits of a sketch for each stretch of the largest text of its band, and bits of a mark.
 SKETCH_SHARE, MARK_BITS = 0.75, 40
 _ODD = np.random.default_rng(3).integers(0, 1 << 63, STRETCH + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -717,17 +717,20 @@ def overlaps(
     similarity: float = SIMILARITY, evaluation: tuple[str, ...] = EVALUATION, train: str = "train", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(train_key, eval_key, eval_split, shared, union, covered)`` of every overlapping pair of records."""
-    texts = scratch.save(
+    whole = scratch.save(
         normalised(records, key, text, split)
         .where(F.col("split").isin(train, *evaluation))
         .withColumn("is_train", F.col("split") == train)
     )
     classes = scratch.save(
-        texts.groupBy("class").agg(
+        whole.groupBy("class").agg(
             F.first("norm").alias("norm"), F.first("size").alias("size"),
             F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"),
         )
     )
+    # The texts themselves are kept once.
+    texts = scratch.save(whole.drop("norm", "size"))
+    scratch.drop(whole)
     near = class_pairs(classes, scratch, similarity)
     same = classes.where("in_train and in_eval").select(
         F.col("class").alias("train_class"), F.col("class").alias("eval_class"),
